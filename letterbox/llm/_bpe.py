@@ -1,0 +1,81 @@
+"""Byte-pair merges for many words at once, as numpy arrays of symbols."""
+
+from __future__ import annotations
+
+import numpy as np
+
+_NONE = np.int32(2**31 - 1)
+#: padded widths; longer words are left to the caller
+WIDTHS = (4, 8, 12, 16, 24, 32)
+
+
+class PairTable:
+    """(left id, right id) -> merge rank in an open-addressing table; ranks index ``merged``."""
+
+    def __init__(self, pairs: np.ndarray, merged: np.ndarray):
+        self.bits = max(8, int(len(pairs)).bit_length() + 2)
+        self.merged = np.append(merged, 0).astype(np.int32)
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, _NONE, np.int32)
+        keys = pairs[:, 0].astype(np.int64) << 32 | pairs[:, 1]
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            free = self.keys[slot[left]] == -1
+            take, first = np.unique(slot[left][free], return_index=True)
+            owners = left[free][first]
+            self.keys[take], self.ranks[take] = keys[owners], owners
+            left = np.setdiff1d(left, owners)
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, the largest int32 where there is none (negative ids are padding)."""
+        keys = left.astype(np.int64) << 32 | (right.astype(np.int64) & 0xFFFFFFFF)
+        keys[(left < 0) | (right < 0)] = -2
+        slot = self._slot(keys)
+        out = np.full(len(keys), _NONE, np.int32)
+        open_ = np.flatnonzero(keys != -2)
+        while len(open_):
+            at = slot[open_]
+            there = self.keys[at]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.ranks[at[hit]]
+            open_ = open_[~hit & (there != -1)]
+            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+        return out
+
+
+def merge_all(symbols: np.ndarray, table: PairTable) -> np.ndarray:
+    """Apply the lowest-ranked, leftmost merge of every row until none applies; rows are -1 padded."""
+    rows, width = symbols.shape
+    out = symbols
+    live = np.arange(rows)
+    cur = symbols.copy()
+    ranks = table.rank(cur[:, :-1].ravel(), cur[:, 1:].ravel()).reshape(rows, width - 1)
+    cols, rank_cols = np.arange(width - 1), np.arange(max(0, width - 2))
+    pad = np.full((rows, 1), -1, np.int32)
+    while len(live):
+        at = ranks.argmin(axis=1)
+        best = ranks[np.arange(len(live)), at]
+        go = best != _NONE
+        if not go.all():
+            out[live[~go]] = cur[~go]
+            live, cur, ranks, at, best = live[go], cur[go], ranks[go], at[go], best[go]
+            if not len(live):
+                break
+        n = np.arange(len(live))
+        cur[n, at] = table.merged[best]
+        # close the gap behind the merged symbol
+        cur[:, 1:] = np.where(cols >= at[:, None], np.concatenate([cur[:, 2:], pad[: len(n)]], axis=1), cur[:, 1:])
+        if width > 2:
+            ranks[:, :-1] = np.where(rank_cols >= at[:, None], ranks[:, 1:], ranks[:, :-1])
+        ranks[:, -1] = _NONE
+        after = np.where(at + 1 < width, cur[n, np.minimum(at + 1, width - 1)], -1)
+        right = at < width - 1
+        ranks[n[right], at[right]] = table.rank(cur[n, at][right], after[right])
+        left = at > 0
+        ranks[n[left], at[left] - 1] = table.rank(cur[n[left], at[left] - 1], cur[n, at][left])
+    return out
