@@ -36,7 +36,7 @@ class WaveletMatrix:
             zero = ~one
             zeros.append(int(np.count_nonzero(zero)))
             if b:
-                x = np.concatenate([x[zero], x[one]])
+                x = np.concatenate([x.compress(zero), x.compress(one)])
         return cls(len(ids), planes, zeros)
 
     @property
@@ -49,8 +49,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             z, back = self.zeros[level], np.empty_like(value)
-            back[~one] = value[:z]
-            back[one] = value[z:] | value.dtype.type(1 << (self.bits - 1 - level))
+            back[np.flatnonzero(~one)] = value[:z]
+            back[np.flatnonzero(one)] = value[z:] | value.dtype.type(1 << (self.bits - 1 - level))
             value = back
         return value.astype("<u4")
 

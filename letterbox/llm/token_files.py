@@ -17,7 +17,7 @@ from letterbox.llm._tokens import encoder
 from letterbox.llm._wavelet import WaveletMatrix
 
 #: ids after which a shard is closed; a document is never cut, so one long text may exceed it
-SHARD = 1 << 20
+SHARD = 1 << 19
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None, shard: int = SHARD) -> DataFrame:
