@@ -23,6 +23,7 @@ from letterbox.llm._common import cut, partitions, text_or_empty
 
 _RUN = "digest binary, size long, check long, has_id int, id long, at_id long, n long"
 _KEYS = ["digest", "size", "check"]
+_SCHEMA = pa.schema([("digest", pa.binary()), ("size", pa.int64()), ("check", pa.int64()), ("has_id", pa.int32()), ("id", pa.int64()), ("at_id", pa.int64()), ("n", pa.int64())])
 
 
 def digests(docs: DataFrame, text: Column | None = None) -> DataFrame:
@@ -48,7 +49,7 @@ def _merge_sorted(keep: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
-            t = pa.Table.from_batches([batch])
+            t = pa.Table.from_arrays(batch.columns, schema=_SCHEMA)
             held = collapse(t if held is None else pa.concat_tables([held, t]))
             if len(held) > 1:  # the last digest may go on in the next batch
                 last = pc.equal(held["digest"], held["digest"][len(held) - 1])
