@@ -2,10 +2,415 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from letterbox.functions import clean as C
+from letterbox.functions import patterns as P
+from letterbox.functions import text as T
+from letterbox.functions import validate as V
+from letterbox.functions.categorize import CATEGORIES, categorize
+from letterbox.functions.ocr_text import ocr_emails
+from letterbox.operators import dom as D
+from letterbox.operators import emails as E
+from letterbox.operators import links as L
+from letterbox.operators import metrics as M
+from letterbox.plans import feeds, pipeline
+from letterbox.sources.tables import host
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+FEED = f"WITH feed AS ({feeds.FEED_SQL}) "
+_EMAILS = FEED + ", e AS (SELECT *, lower(trim(raw)) AS email FROM feed WHERE length(raw) - length(replace(raw, '@', '')) = 1 AND raw NOT LIKE '% %') "
+_LOCAL, _DOMAIN = "split_part(email, '@', 1)", "split_part(email, '@', 2)"
+
+
+def _emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = feeds.candidates(spark, sf_dir).filter(C.one_at(F.col("raw")) & ~F.contains("raw", F.lit(" ")))
+    return feed.withColumn("email", F.lower(F.trim("raw")))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate address of the documents, with the reason for its verdict."""
+    found = pipeline.judge_texts(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "email", "raw", F.array_join("extractors", ",").alias("extractors"), F.coalesce("reason", F.lit("accepted")).alias("verdict"))
+
+
+FLAGSHIP = flagship
+
+
+@_query(f"SELECT doc_id, raw, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{P.EM}')) AS raw FROM documents) GROUP BY ALL")
+def email_scan_documents(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@")))
+    return docs.select("doc_id", F.explode(T.find_all(F.col("text"), P.EM)).alias("raw")).groupBy("doc_id", "raw").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT page_id, raw, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '{P.EM}')) AS raw FROM pages) GROUP BY ALL")
+def email_scan_pages(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages").filter(F.contains("html", F.lit("@")))
+    return pages.select("page_id", F.explode(T.find_all(F.col("html"), P.EM)).alias("raw")).groupBy("page_id", "raw").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT conv_id, turn, replace(replace(replace(text, chr(10), ' '), chr(13), ' '), chr(9), ' ') AS text FROM conversations WHERE text IS NOT NULL AND text = trim(text)")
+def text_normalize(spark, sf_dir):
+    return _read(spark, sf_dir, "conversations").filter(F.col("text") == F.trim("text")).select("conv_id", "turn", T.normalize_text(F.col("text")).alias("text"))
+
+
+@_query()
+def document_verdicts(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+def _clean_query(name, step, forms, sql):
+    rows = ",".join(map(str, forms))
+
+    def run(spark, sf_dir):
+        feed = feeds.candidates(spark, sf_dir).filter(C.one_at(F.col("raw"))).filter(F.col("form").isin(*forms))
+        return feed.select("cand_id", "raw", step(F.col("raw")).alias("cleaned"))
+
+    run.__name__ = name
+    local = "split_part(raw, '@', 1)"
+    good = f"length({sql.format(local=local)}) >= 2"
+    _query(FEED + f"SELECT cand_id, raw, CASE WHEN {good} THEN {sql.format(local=local)} || '@' || split_part(raw, '@', 2) ELSE raw END AS cleaned FROM feed WHERE form IN ({rows}) AND length(raw) - length(replace(raw, '@', '')) = 1")(run)
+
+
+_ALL = tuple(x for x in range(feeds.FORMS) if x not in (2, 3, 4, 5))
+_NAMES = "|".join(P.COMMON_NAMES)
+_clean_query("clean_phone", C.strip_phone, _ALL, r"regexp_extract({local}, '^(?:\+?[\d\-\s]+?\d)([a-zA-Z].*)$', 1)")
+_clean_query("clean_hours", C.strip_hours, _ALL, r"lower(regexp_extract({local}, '^(?:\d{{1,2}}(?::\d{{2}})?\s*(?:am|pm|AM|PM)\s*[-–—]\s*\d{{1,2}}(?::\d{{2}})?\s*(?:am|pm|AM|PM))([a-zA-Z].*)$', 1))")
+_clean_query("clean_year", C.strip_year, _ALL, r"regexp_extract(lower({local}), '^(?:\d{{4}}(?:-\d{{2,4}})?\.?)(" + _NAMES + ")$', 1)")
+_clean_query("clean_percent", C.strip_percent, _ALL, "regexp_extract(lower({local}), '^(?:%[0-9a-f]{{2}})+([a-z]+)$', 1)")
+_clean_query("clean_letter", C.strip_letter, _ALL, "CASE WHEN lower({local}) IN ('" + "','".join(P.COMMON_NAMES) + "') THEN '' ELSE regexp_extract(lower({local}), '^[a-z](" + _NAMES + ")$', 1) END")
+_PREFIX = "lower(split_part(raw, '@', 2))"
+_clean_query(
+    "clean_domain_prefix", C.strip_domain, _ALL,
+    "CASE WHEN starts_with(lower({local}), " + _PREFIX + ") AND regexp_extract(substr(lower({local}), length(" + _PREFIX + ") + 1), '^([a-z]+)', 1) IN ('" + "','".join(P.COMMON_NAMES) + "')"
+    " THEN regexp_extract(substr(lower({local}), length(" + _PREFIX + ") + 1), '^([a-z]+)', 1)"
+    " WHEN starts_with(lower({local}), split_part(" + _PREFIX + ", '.', 1)) AND regexp_extract(substr(lower({local}), length(split_part(" + _PREFIX + ", '.', 1)) + 1), '^([a-z]+)', 1) IN ('" + "','".join(P.COMMON_NAMES) + "')"
+    " THEN regexp_extract(substr(lower({local}), length(split_part(" + _PREFIX + ", '.', 1)) + 1), '^([a-z]+)', 1) ELSE '' END",
+)
+
+
+def _decode_query(name, find, form, value):
+    def run(spark, sf_dir):
+        feed = feeds.candidates(spark, sf_dir).filter(F.col("form") == form)
+        return feed.select("cand_id", F.explode(find(F.col("raw"))).alias("email"))
+
+    run.__name__ = name
+    _query(FEED + f"SELECT cand_id, {value} AS email FROM feed WHERE form = {form}")(run)
+
+
+_decode_query("decode_brackets", T.written_out, 2, "regexp_replace(raw, '^(.*) \\[at\\] (.*) \\[dot\\] (.*)$', '\\1@\\2.\\3')")
+_decode_query("decode_at_dot", T.written_out, 3, "regexp_replace(raw, '^(.*) at (.*) dot (.*)$', '\\1@\\2.\\3')")
+_decode_query("decode_js_concat", T.scripts, 4, "regexp_replace(raw, '^\"(.*)\" \\+ \"@\" \\+ \"(.*)\" \\+ \"\\.\" \\+ \"(.*)\"$', '\\1@\\2.\\3')")
+_decode_query("decode_unescape", T.scripts, 5, "replace(regexp_extract(raw, '\"(.*)\"', 1), '%40', '@')")
+_decode_query("decode_rot13", lambda c: F.array(T.rot13(c)), 0, "translate(raw, 'abcdefghijklmnopqrstuvwxyz', 'nopqrstuvwxyzabcdefghijklm')")
+
+
+@_query(FEED + "SELECT cand_id, loc || '@' || dom AS email FROM feed")
+def decode_char_codes(spark, sf_dir):
+    feed = feeds.candidates(spark, sf_dir)
+    plain = F.concat("loc", F.lit("@"), "dom")
+    codes = F.array_join(F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("string")), ", ")
+    return feed.select("cand_id", F.explode(T.scripts(F.concat(F.lit("String.fromCharCode("), codes, F.lit(")")))).alias("email"))
+
+
+@_query(FEED + "SELECT cand_id, loc || '@' || dom AS email FROM feed")
+def decode_base64(spark, sf_dir):
+    feed = feeds.candidates(spark, sf_dir)
+    coded = F.base64(F.concat("loc", F.lit("@"), "dom").cast("binary"))
+    return feed.select("cand_id", F.explode(T.scripts(F.concat(F.lit("atob('"), coded, F.lit("')")))).alias("email"))
+
+
+@_query(FEED + "SELECT cand_id, loc || '@' || dom AS email FROM feed")
+def decode_entities(spark, sf_dir):
+    feed = feeds.candidates(spark, sf_dir)
+    return feed.select("cand_id", F.explode(T.entities(F.concat("loc", F.lit("&#64;"), "seg", F.lit("&#46;"), "tld"))).alias("email"))
+
+
+@_query(FEED + "SELECT cand_id, loc || '@' || dom AS email FROM feed")
+def decode_spaced(spark, sf_dir):
+    feed = feeds.candidates(spark, sf_dir)
+    return feed.select("cand_id", F.explode(T.spaced(F.concat("loc", F.lit(" @ "), "seg", F.lit(" . "), "tld"))).alias("email"))
+
+
+_KEY = f"CASE WHEN {_DOMAIN} IN ('gmail.com', 'googlemail.com') THEN replace({_LOCAL}, '.', '') || '@' || {_DOMAIN} ELSE email END"
+
+
+@_query(_EMAILS + f"SELECT k AS email, count(*) AS n, min(raw) AS raw FROM (SELECT {_KEY} AS k, raw FROM e) GROUP BY k")
+def normalize_first(spark, sf_dir):
+    rows = _emails(spark, sf_dir).withColumn("key", C.dedup_key(F.col("raw")))
+    return rows.groupBy(F.col("key").alias("email")).agg(F.count("*").alias("n"), F.min("raw").alias("raw"))
+
+
+_CONTEXT = "|".join(P.EXAMPLE_WORDS)
+
+
+@_query(
+    f"WITH m AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '{P.EM}'))) AS email, lower(text) AS low FROM documents),"
+    " p AS (SELECT *, strlen(substr(low, 1, strpos(low, email) - 1)) AS before FROM m),"
+    " w AS (SELECT *, greatest(before - 100, 0) AS st FROM p) "
+    "SELECT doc_id, email, list_bool_or(list_transform(["
+    + ",".join(f"'{w}'" for w in P.EXAMPLE_WORDS)
+    + "], lambda k: strpos(win, k) > 0 AND abs(strpos(win, k) - 1 - (before - st)) < 50)) AS example FROM (SELECT *, substr(low, CAST(st + 1 AS BIGINT), CAST(before - st + length(email) + 100 AS BIGINT)) AS win FROM w WHERE strlen(low) = length(low))"
+)
+def context_filter(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").filter(F.octet_length("text") == F.length("text"))
+    rows = docs.filter(F.contains("text", F.lit("@"))).select("doc_id", "text", F.explode(F.array_distinct(F.transform(T.find_all(F.col("text"), P.EM), F.lower))).alias("email"))
+    return rows.select("doc_id", "email", V.in_example_context(F.col("email"), F.col("text")).alias("example"))
+
+
+_TLD = "regexp_extract(email, '([^.]*)$', 1)"
+_SYNTAX = f"regexp_matches(email, '{_q(P.SYNTAX)}') AND contains({_DOMAIN}, '.') AND NOT regexp_matches({_LOCAL}, '^\\.|\\.$') AND NOT regexp_matches({_DOMAIN}, '^-|-$')"
+_SECURITY = f"regexp_matches(email, '{_q(V.any_of(P.SECURITY_WORDS))}')"
+_SUFFIX = f"{_TLD} IN ({','.join(repr(x) for x in V.FILE_SUFFIXES if x not in P.REAL_TLDS)})"
+_MORE = (
+    f"strlen({_LOCAL}) NOT BETWEEN 1 AND 64 OR strlen({_DOMAIN}) NOT BETWEEN 3 AND 253 OR contains(email, '..') OR regexp_matches({_LOCAL}, '^\\.|\\.$') OR regexp_matches({_DOMAIN}, '^-|-$')"
+    f" OR regexp_matches({_LOCAL}, '{_q(P.FORBIDDEN)}') OR regexp_matches({_LOCAL}, '\\d{{6,}}') OR regexp_matches({_LOCAL}, '^\\d{{3,6}}[a-zA-Z]|^\\+?[\\d\\-\\s]+?\\d[a-zA-Z]')"
+    f" OR (regexp_matches({_LOCAL}, '^(?:{'|'.join(P.CITIES)})') AND regexp_matches({_LOCAL}, '\\d{{4,}}')) OR NOT regexp_matches({_TLD}, '^[a-zA-Z]{{2,63}}$') OR regexp_matches(email, '{_q(V.any_of(P.TEST_ADDRESSES))}')"
+)
+_DIMS = f", mx AS ({feeds.MX_SQL}), dis AS ({feeds.DISPOSABLE_SQL}) "
+_REASON = (
+    f"CASE WHEN NOT ({_SYNTAX}) THEN '{P.REASONS['syntax']}' WHEN {_SECURITY} THEN '{P.REASONS['security']}' WHEN dis.domain IS NOT NULL THEN '{P.REASONS['disposable']}'"
+    f" WHEN {_SUFFIX} THEN '{P.REASONS['suffix']}' WHEN NOT coalesce(has_mx, true) THEN '{_q(P.REASONS['mx'])}' WHEN {_MORE} THEN '{P.REASONS['additional']}' ELSE 'accepted' END"
+)
+_JUDGED = _EMAILS + _DIMS + f", j AS (SELECT cand_id, email, {_REASON} AS reason FROM e LEFT JOIN dis ON dis.domain = {_DOMAIN} LEFT JOIN mx ON mx.domain = {_DOMAIN}) "
+
+
+def _judged(spark, sf_dir):
+    feed = feeds.candidates(spark, sf_dir)
+    rows = E.mx_lookup(E.disposable_lookup(_emails(spark, sf_dir), feeds.disposable_domains(feed)), feeds.mx_snapshot(feed))
+    reason = V.rejection_reason(F.col("email"), F.col("disposable"), F.col("has_mx"))
+    return rows.select("cand_id", "email", F.coalesce(reason, F.lit("accepted")).alias("reason"))
+
+
+@_query(_JUDGED + "SELECT cand_id, email, reason FROM j")
+def validation_verdicts(spark, sf_dir):
+    return _judged(spark, sf_dir)
+
+
+@_query(_JUDGED + "SELECT reason, count(*) AS n FROM j GROUP BY reason")
+def validation_funnel(spark, sf_dir):
+    return _judged(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@_query(_EMAILS + _DIMS + f"SELECT cand_id, email FROM e WHERE {_DOMAIN} NOT IN (SELECT domain FROM dis)")
+def disposable_anti(spark, sf_dir):
+    feed = feeds.candidates(spark, sf_dir)
+    rows = _emails(spark, sf_dir).withColumn("domain", C.domain_part(F.col("email")))
+    return rows.join(feeds.disposable_domains(feed), "domain", "left_anti").select("cand_id", "email")
+
+
+@_query(_EMAILS + _DIMS + f"SELECT cand_id, email, CASE WHEN has_mx IS NULL THEN 'unknown' WHEN has_mx THEN 'yes' ELSE 'no' END AS mx FROM e LEFT JOIN mx ON mx.domain = {_DOMAIN}")
+def mx_lookup(spark, sf_dir):
+    rows = E.mx_lookup(_emails(spark, sf_dir), feeds.mx_snapshot(feeds.candidates(spark, sf_dir)))
+    return rows.select("cand_id", "email", F.when(F.col("has_mx").isNull(), "unknown").when(F.col("has_mx"), "yes").otherwise("no").alias("mx"))
+
+
+@_query(_EMAILS + f"SELECT cand_id, email FROM e WHERE {_SUFFIX}")
+def bad_suffix(spark, sf_dir):
+    return _emails(spark, sf_dir).filter(V.bad_suffix(F.col("email"))).select("cand_id", "email")
+
+
+@_query(_EMAILS + "SELECT DISTINCT cand_id, email FROM e WHERE ends_with(email, '.png') OR ends_with(email, '.fr')")
+def suffix_join(spark, sf_dir):
+    dim = spark.createDataFrame([("png",), ("fr",)], "suffix string")
+    return E.suffix_matches(_emails(spark, sf_dir).select("cand_id", "email"), dim)
+
+
+def _category_sql() -> str:
+    low = _LOCAL
+    score = {k: " + ".join(f"CAST(contains({low}, '{w}') AS INT)" for w in v) for k, v in CATEGORIES.items()}
+    best = "greatest(" + ", ".join(f"s_{k}" for k in CATEGORIES) + ")"
+    pick = " ".join(f"WHEN s_{k} = best THEN '{k}'" for k in CATEGORIES)
+    return _EMAILS + ", s AS (SELECT cand_id, email, " + ", ".join(f"{v} AS s_{k}" for k, v in score.items()) + f" FROM e), b AS (SELECT *, {best} AS best FROM s), c AS (SELECT cand_id, email, CASE WHEN best = 0 THEN 'other' {pick} END AS category FROM b) "
+
+
+@_query(_category_sql() + "SELECT cand_id, email, category FROM c")
+def categorize_argmax(spark, sf_dir):
+    return _emails(spark, sf_dir).select("cand_id", "email", categorize(F.col("email")).alias("category"))
+
+
+@_query(_category_sql() + "SELECT category, count(*) AS n FROM c GROUP BY ROLLUP (category)")
+def category_rollup(spark, sf_dir):
+    return M.category_counts(categorize_argmax(spark, sf_dir))
+
+
+@_query(_category_sql() + "SELECT category, count(DISTINCT email) AS n, string_agg(DISTINCT email, chr(10) ORDER BY email) AS emails FROM c GROUP BY category")
+def category_listing(spark, sf_dir):
+    return M.category_listing(categorize_argmax(spark, sf_dir))
+
+
+@_query("SELECT page_id, " + " + ".join(f"CAST(contains(lower(html), '{w}') AS INT)" for w in P.CHALLENGE) + " AS hits FROM pages")
+def challenge_pages(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", V.challenge_hits(F.col("html")).alias("hits"))
+
+
+@_query("SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
+def anchor_links(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", F.explode(T.find_all(F.col("html"), '<a href="([^"]*)"', 1)).alias("href"))
+
+
+@_query("SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
+def dom_anchors(spark, sf_dir):
+    n = D.nodes(D.parse_dom(_read(spark, sf_dir, "pages")))
+    return n.filter((F.col("tag") == "a") & D.attr("href").isNotNull()).select("page_id", D.attr("href").alias("href"))
+
+
+@_query("SELECT page_id, unnest(regexp_extract_all(html, '<meta charset=\"([^\"]*)\"', 1)) AS charset FROM pages")
+def dom_attributes(spark, sf_dir):
+    n = D.nodes(D.parse_dom(_read(spark, sf_dir, "pages")))
+    return n.filter((F.col("tag") == "meta") & D.attr("charset").isNotNull()).select("page_id", D.attr("charset").alias("charset"))
+
+
+@_query("SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n_items, len(regexp_extract_all(html, '<div[ >]')) AS n_blocks FROM pages")
+def dom_tag_counts(spark, sf_dir):
+    n = D.nodes(D.parse_dom(_read(spark, sf_dir, "pages")))
+    return n.groupBy("page_id").agg(F.count_if(F.col("tag") == "li").alias("n_items"), F.count_if(F.col("tag") == "div").alias("n_blocks"))
+
+
+@_query()
+def dom_candidates(spark, sf_dir):
+    return D.extract(D.parse_dom(_read(spark, sf_dir, "pages")))
+
+
+@_query()
+def dom_verdicts(spark, sf_dir):
+    found = pipeline.judge_pages(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "email", "raw", F.array_join("extractors", ",").alias("extractors"), F.coalesce("reason", F.lit("accepted")).alias("verdict"))
+
+
+@_query()
+def dom_links(spark, sf_dir):
+    return L.link_rules(D.parse_dom(_read(spark, sf_dir, "pages")), keywords=("the", "and", "contact"))
+
+
+_GUESSES = "[" + ",".join(f"'/{p}{w}'" for p in L.GUESS_PREFIXES for w in L.GUESS_WORDS) + "]"
+_RANK = f"""
+WITH b AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, html FROM pages),
+c AS (SELECT page_id, CASE WHEN starts_with(u, 'http') THEN u ELSE base || CASE WHEN ends_with(base, '/') OR starts_with(u, '/') THEN '' ELSE '/' END || u END AS url, g FROM (
+ SELECT page_id, base, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS u, 0 AS g FROM b
+ UNION ALL SELECT page_id, base, unnest({_GUESSES}) AS u, 1 AS g FROM b)),
+d AS (SELECT page_id, url, min(g) AS g FROM c WHERE NOT regexp_matches(url, '(?:{V.any_of(V.CONTACT_SUFFIXES)})$') GROUP BY page_id, url)
+SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN contains(lower(url), 'contact') THEN 0 ELSE 1 END, strlen(url), g, url) AS r FROM d) WHERE r = 1
+"""
+
+
+@_query(_RANK)
+def contact_rank_top1(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    bases = pages.select("page_id", F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("base"))
+    rules = pages.select("page_id", F.explode(T.find_all(F.col("html"), '<a href="([^"]*)"', 1)).alias("url")).withColumn("node_id", F.lit(0))
+    return L.best_contact(L.contact_candidates(bases, rules)).select("page_id", "url")
+
+
+@_query()
+def contact_pages(spark, sf_dir):
+    return pipeline.contact_pages(_read(spark, sf_dir, "pages"))
+
+
+_HOST = "lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
+
+
+@_query(f"SELECT page_id, {_HOST} AS host FROM pages")
+def url_hosts(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", host(F.col("url")).alias("host"))
+
+
+@_query(f"SELECT host, page_id FROM (SELECT {_HOST} AS host, page_id, row_number() OVER (PARTITION BY {_HOST} ORDER BY CASE WHEN starts_with(url, 'https:') THEN 0 ELSE 1 END, page_id) AS r FROM pages) WHERE r = 1")
+def homepages(spark, sf_dir):
+    from letterbox.sources.tables import pages_of_domains
+
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    domains = pages.select(host(F.col("url")).alias("domain")).distinct()
+    return pages_of_domains(domains, pages).select(F.col("domain").alias("host"), "page_id")
+
+
+_SITES = f"WITH s AS (SELECT {_HOST} AS domain, max(page_id) % 3 > 0 AS reached, max(len(regexp_extract_all(html, '@'))) AS n_emails FROM pages GROUP BY 1), o AS (SELECT *, CASE WHEN NOT reached THEN 'unresolved' WHEN n_emails > 0 THEN 'success' ELSE 'no email' END AS outcome FROM s) "
+
+
+def _sites(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    rows = pages.groupBy(host(F.col("url")).alias("domain")).agg((F.max("page_id") % 3 > 0).alias("reached"), F.max(F.regexp_count("html", F.lit("@"))).alias("n_emails"))
+    return M.outcomes(rows)
+
+
+@_query(_SITES + "SELECT domain, outcome FROM o")
+def domain_outcomes(spark, sf_dir):
+    return _sites(spark, sf_dir).select("domain", "outcome")
+
+
+@_query(
+    _SITES + "SELECT count(*) AS processed, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'unresolved') AS unresolved, count(*) FILTER (outcome = 'no email') AS no_email, CAST(sum(n_emails) AS BIGINT) AS emails,"
+    " count(*) FILTER (outcome <> 'success') AS failed, 100.0 * count(*) FILTER (outcome = 'success') / count(*) AS success_pct, CAST(coalesce(sum(n_emails) / nullif(count(*) FILTER (outcome = 'success'), 0), 0) AS DOUBLE) AS emails_per_success FROM o"
+)
+def run_report(spark, sf_dir):
+    return M.run_report(_sites(spark, sf_dir))
+
+
+@_query(f"WITH i AS ({feeds.IMAGES_SQL}), p AS (SELECT *, CASE WHEN regexp_matches(lower(url), 'mail|email|contact|@') THEN 10 WHEN regexp_matches(lower(alt), 'mail|email|contact|@') THEN 5 ELSE 0 END AS priority FROM i),"
+        " r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, pos) AS rn FROM p) SELECT page_id, pos, priority, rn FROM r WHERE priority > 0 OR rn <= 20")
+def image_selection(spark, sf_dir):
+    return M.select_images(feeds.images(spark, sf_dir)).select("page_id", "pos", "priority", "rn")
+
+
+@_query(FEED + "SELECT cand_id, loc || '@' || dom AS email FROM feed WHERE loc NOT LIKE '%ooo%' AND loc NOT LIKE '%rrr%' AND loc NOT LIKE '%nnn%' AND form = 0")
+def ocr_spaced(spark, sf_dir):
+    feed = feeds.candidates(spark, sf_dir).filter("form = 0 AND loc NOT LIKE '%ooo%' AND loc NOT LIKE '%rrr%' AND loc NOT LIKE '%nnn%'")
+    text = F.concat(F.lit("see "), "loc", F.lit(" @ "), "seg", F.lit(" . "), "tld")
+    return feed.select("cand_id", F.explode(ocr_emails(text)).alias("email"))
+
+
+@_query("SELECT o_custkey, count(*) AS n_orders, count(DISTINCT o_orderpriority) AS n_priorities FROM orders GROUP BY o_custkey")
+def distinct_counts(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.count_distinct("o_orderpriority").alias("n_priorities"))
+
+
+@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_values(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@_query(FEED + "SELECT DISTINCT dom AS domain FROM feed WHERE strlen(dom) BETWEEN 1 AND 253 AND regexp_matches(dom, '^[a-z0-9.-]+$') AND contains(dom, '.')")
+def valid_domains(spark, sf_dir):
+    return feeds.candidates(spark, sf_dir).select(F.col("dom").alias("domain")).filter(V.valid_domain(F.col("domain"))).distinct()
+
+
+@_query(FEED + ", a AS (SELECT dom AS host, loc AS email FROM feed WHERE form < 12), b AS (SELECT dom AS host, loc AS email FROM feed WHERE form > 7)"
+        " SELECT host, email, CASE WHEN count(DISTINCT s) = 2 THEN 'homepage & contact' WHEN min(s) = 'a' THEN 'homepage' ELSE 'contact' END AS found_on FROM (SELECT host, email, 'a' AS s FROM a UNION ALL SELECT host, email, 'b' AS s FROM b) GROUP BY host, email")
+def provenance(spark, sf_dir):
+    feed = feeds.candidates(spark, sf_dir).select("form", F.col("dom").alias("host"), F.col("loc").alias("email"))
+    return M.provenance(feed.filter("form < 12"), feed.filter("form > 7"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@_query("SELECT event_id, CASE WHEN s < 60 THEN CAST(s AS VARCHAR) || 's' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm' || CAST(s % 60 AS VARCHAR) || 's' ELSE CAST(s // 3600 AS VARCHAR) || 'h' || CAST(s % 3600 // 60 AS VARCHAR) || 'm' END AS took FROM (SELECT event_id, CAST(event_id % 10000 AS BIGINT) AS s FROM events)")
+def durations(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", M.duration(F.col("event_id") % 10000).alias("took"))
