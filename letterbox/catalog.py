@@ -382,7 +382,7 @@ def image_selection(spark, sf_dir):
     return M.select_images(feeds.images(spark, sf_dir)).select("page_id", "pos", "priority", "rn")
 
 
-@_query(FEED + "SELECT cand_id, loc || '@' || dom AS email FROM feed WHERE loc NOT LIKE '%ooo%' AND loc NOT LIKE '%rrr%' AND loc NOT LIKE '%nnn%' AND form = 0")
+@_query(FEED + r"SELECT cand_id, regexp_replace(regexp_replace(regexp_replace(loc || '@' || dom, 'rn([a-z])', 'm\1', 'g'), 'cl([a-z])', 'd\1', 'g'), 'vv([a-z])', 'w\1', 'g') AS email FROM feed WHERE loc NOT LIKE '%ooo%' AND loc NOT LIKE '%rrr%' AND loc NOT LIKE '%nnn%' AND form = 0")
 def ocr_spaced(spark, sf_dir):
     feed = feeds.candidates(spark, sf_dir).filter("form = 0 AND loc NOT LIKE '%ooo%' AND loc NOT LIKE '%rrr%' AND loc NOT LIKE '%nnn%'")
     text = F.concat(F.lit("see "), "loc", F.lit(" @ "), "seg", F.lit(" . "), "tld")

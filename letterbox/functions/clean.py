@@ -23,6 +23,11 @@ def domain_part(email: Column) -> Column:
     return F.substring_index(email, "@", -1)
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` mentions it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _swap(email: Column, rest: Column) -> Column:
     """``rest`` in place of the local part where it is long enough to be one."""
     good = one_at(email) & (F.length(rest) >= 2)
@@ -68,18 +73,21 @@ def strip_letter(email: Column, compat: bool = False) -> Column:
 
 def strip_artifacts(email: Column, compat: bool = False) -> Column:
     """The first of domain, year, percent code and single letter that changes the address."""
-    steps = [strip_domain(email), strip_year(email), strip_percent(email, compat), strip_letter(email, compat)]
-    return F.coalesce(*[F.when(s != email, s) for s in steps], email)
+    steps = F.array(strip_domain(email), strip_year(email), strip_percent(email, compat), strip_letter(email, compat))
+    return F.coalesce(F.get(F.filter(steps, lambda s: s != email), F.lit(0)), email)
 
 
 def clean(email: Column, compat: bool = False) -> Column:
     """All cleaning steps. Hours go before phone numbers, which would eat their first digits."""
     first, second = (strip_phone, strip_hours) if compat else (strip_hours, strip_phone)
-    return strip_artifacts(second(first(email)), compat)
+    return let(let(let(email, lambda e: first(e)), lambda e: second(e)), lambda e: strip_artifacts(e, compat))
 
 
 def dedup_key(email: Column) -> Column:
     """Lower case, trimmed; dots do not count in the local parts of two providers. Tags stay."""
-    low = F.lower(F.trim(email))
-    dotless = F.concat(F.replace(local_part(low), F.lit("."), F.lit("")), F.lit("@"), domain_part(low))
-    return F.when(one_at(low) & domain_part(low).isin("gmail.com", "googlemail.com"), dotless).otherwise(low)
+
+    def key(low: Column) -> Column:
+        dotless = F.concat(F.replace(local_part(low), F.lit("."), F.lit("")), F.lit("@"), domain_part(low))
+        return F.when(one_at(low) & domain_part(low).isin("gmail.com", "googlemail.com"), dotless).otherwise(low)
+
+    return let(F.lower(F.trim(email)), key)
