@@ -36,13 +36,16 @@ def line_fails(line: Column, marks: str = TERMINAL, phrases: tuple[str, ...] = B
 def _repeated_words(df: DataFrame) -> DataFrame:
     """n_repeat_words from the array ``_w``: words inside windows that occur at least twice."""
     last = F.size("_w") - WINDOW
-    windows = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.xxhash64(F.slice("_w", i + 1, WINDOW)).alias("h"), i.alias("i"))))
-    df = df.withColumn("_s", F.array_sort(F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>"))))
+    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+    df = df.withColumn("_h", F.when(last >= 0, F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i + 1, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
+    # most texts repeat nothing: only the others pay for sorting their windows
+    placed = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     s = F.col("_s")
     twice = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False)))
     df = df.withColumn("_p", F.array_sort(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate("_p", F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-    return df.withColumn("n_repeat_words", covered.cast("long")).drop("_s", "_p")
+    return df.withColumn("n_repeat_words", covered.cast("long")).drop("_h", "_s", "_p")
 
 
 _OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "n_removed")
