@@ -148,9 +148,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
     langs = usable.select("lang").distinct().count()
     if not langs:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.col("lang")), "doc_id")
     most = max(1, min(per_language, in_all // langs))
-    picked = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    # ranked within 64 slices of a language first, so that one language meets in one task with few rows only
+    ids = usable.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string"), F.col("lang")).alias("h")).withColumn("slice", F.pmod("h", F.lit(64)))
+    for keys in (["lang", "slice"], ["lang"]):
+        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).filter(F.col("rank") <= most)
+    picked = ids
     picked = picked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     rows = usable.select("doc_id", "lang", "text").join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
 
