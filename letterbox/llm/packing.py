@@ -95,7 +95,8 @@ def best_fit_pack(docs: DataFrame, vocabulary: str, room: int = 4096, end_id: in
     columns = [np.array(x, np.int64) for x in zip(*entries, strict=True)] if entries else [np.zeros(0, np.int64)] * 6
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = cuts.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("local"))
+    # bases grow with the number of tasks: never broadcast
+    ranked = cuts.join(bases.hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("local"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, ranks, _, firsts, eachs, offsets = columns
