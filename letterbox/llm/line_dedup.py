@@ -103,10 +103,10 @@ def line_dedup(docs: DataFrame, least: int = 2) -> DataFrame:
     spans = later.select("doc", "copy", F.explode(F.sequence(F.col("line"), F.col("line") + (least - 1))).alias("line"))
     gone = spans.groupBy("doc", "copy").agg(F.collect_set("line").alias("_gone"))
     depth = deepest.groupBy("doc", "copy").agg(F.max("depth").alias("_depth"))
-    marks = depth.join(gone, depth["doc"].eqNullSafe(gone["doc"]) & (depth["copy"] == gone["copy"]), "left").select(depth["doc"], depth["copy"], "_depth", "_gone")
+    marks = depth.join(gone, depth["doc"].eqNullSafe(gone["doc"]) & (depth["copy"] == gone["copy"]), "left").select(depth["doc"].alias("_doc"), depth["copy"].alias("_same"), "_depth", "_gone")
     marks = cut(marks, "marks")
     rows = docs.withColumn("_copy", F.xxhash64(text_or_empty()))
-    out = rows.join(marks, rows["doc_id"].cast("long").eqNullSafe(marks["doc"]) & (rows["_copy"] == marks["copy"]), "left")
+    out = rows.join(marks, rows["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.col("_copy") == F.col("_same")), "left")
     out = out.withColumn("_l", F.split(text_or_empty(), "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_l", i)), "\n"))

@@ -23,7 +23,7 @@ def docs(request, spark):
         if not Path(DOCS).exists():
             pytest.skip("no tables here")
         return spark.read.parquet(DOCS)
-    return spark.createDataFrame([] if request.param == "empty" else [(*r, "x", 7) for r in EDGE], "doc_id long, text string, kept string, depth int")
+    return spark.createDataFrame([] if request.param == "empty" else [(*r, "x", 7) for r in EDGE], "doc_id long, text string, doc string, depth int")
 
 
 def key(doc_id):
