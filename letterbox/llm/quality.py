@@ -79,7 +79,10 @@ def quality(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
 
 def quality_filter(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     """The kept rows of ``docs`` with cleaned texts; n_chars, where there is one, counts the cleaned text."""
-    out = quality(docs, max_loss).filter("kept").withColumn("text", F.col("clean_text"))
+    # a filter would be pushed below the counts and compute them anew inside its own condition; an
+    # explode of one or no text is not
+    kept = quality(docs, max_loss).withColumn("_kept_text", F.explode(F.when(F.col("kept"), F.array("clean_text")).otherwise(F.array().cast("array<string>"))))
+    out = kept.withColumn("text", F.col("_kept_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
