@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from letterbox.functions.validate import bad_suffix, valid_domain
 
@@ -27,6 +28,10 @@ def stream_domains(spark: SparkSession, folder: str, files_a_batch: int = 1) ->
     return lines.select(F.trim("value").alias("domain")).filter(valid_domain(F.col("domain")))
 
 
+def _with_text(schema: StructType, name: str) -> StructType:
+    return StructType([*schema.fields, StructField(name, StringType())])
+
+
 def inflate(pages: DataFrame, body: str = "body", encoding: str = "content_encoding", into: str = "html") -> DataFrame:
     """Bodies to text: gzip by its magic (a broken one is null), or where the header says so and it works."""
     schema = pages.schema
@@ -48,7 +53,7 @@ def inflate(pages: DataFrame, body: str = "body", encoding: str = "content_encod
             made = [text(r, h) for r, h in zip(b.column(body).to_pylist(), b.column(encoding).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], [*b.schema.names, into])
 
-    return pages.mapInArrow(run, schema.add(into, "string"))
+    return pages.mapInArrow(run, _with_text(schema, into))
 
 
 def host(url: Column) -> Column:
@@ -81,7 +86,7 @@ def resolve_urls(links: DataFrame, base: str = "base", url: str = "url", into: s
             made = [one(b, u) for b, u in zip(x.column(base).to_pylist(), x.column(url).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(made, pa.string())], [*x.schema.names, into])
 
-    return links.mapInArrow(run, links.schema.add(into, "string"))
+    return links.mapInArrow(run, _with_text(links.schema, into))
 
 
 def read_images(spark: SparkSession, folder: str, most_bytes: int = 5 << 20) -> DataFrame:
