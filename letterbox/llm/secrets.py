@@ -3,7 +3,8 @@
 A text is scanned as it is; its encoded parts (URL escapes, Unicode escapes, base64, compressed data in
 base64) are unwrapped into new layers, each scanned and unwrapped in turn until nothing new comes out. A
 layer remembers for every character the span of the original text it came from, so that a find in any depth
-is reported where it stands in the text. Layers seen before are not entered again, which ends cycles.
+is reported where it stands in the text. A layer seen before at the same place is not entered again, which ends
+cycles; the same text at another place is.
 """
 
 from __future__ import annotations
@@ -157,12 +158,12 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     """Finds of the text itself, and those of all layers, each sorted by start, kind and end."""
     base = sorted(scan(text))
     found = set(base)
-    work, seen = [_Layer(text, None)], {text}
+    work, seen = [_Layer(text, None)], set()
     while work:
         for inner in _unwrap(work.pop()):
-            if inner.text in seen:
+            if (key := (inner.text, tuple(inner.spans))) in seen:
                 continue
-            seen.add(inner.text)
+            seen.add(key)
             for start, kind, end in scan(inner.text):
                 a, b = inner.place(start, end)
                 found.add((a, kind, b))

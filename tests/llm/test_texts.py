@@ -72,6 +72,14 @@ def test_secrets(text, spans):
     assert set(base) <= set(found)
 
 
+def test_encoded_secret_at_two_places():
+    n = len(PACKED)
+    assert secrets.find(f"{PACKED} and {PACKED}")[1] == [(0, 0, n), (n + 5, 0, 2 * n + 5)]
+    assert secrets.find("token%3Dabcdefgh12\ntoken%3Dabcdefgh12")[1] == [(0, 0, 18), (19, 0, 37)]
+    twice = base64.b64encode(f"{PACKED} {PACKED}".encode()).decode()
+    assert secrets.find(twice)[1] == [(0, 0, len(twice))]
+
+
 def test_base_patterns_as_written():
     texts = ["API_KEY='abcdefgh' apikey:abcdefg secret==x Token = '........'", "a" * 40 + " g" + "f" * 31, "AKIA" * 9, "ſecret: abcdefghi", "token:\ttoken: abcdefgh"]
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
