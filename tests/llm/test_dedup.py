@@ -11,6 +11,7 @@ import xxhash
 from letterbox.llm.components import components
 from letterbox.llm.exact_dedup import exact_dedup
 from letterbox.llm.line_dedup import line_dedup
+from letterbox.llm.shingle_dedup import shingle_dedup
 from letterbox.llm.simhash_dedup import ball, segments, simhash_dedup, simhash_groups
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -97,6 +98,50 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def first_of_components(data):
+    """(doc_id, text) that stay, by comparing all pairs of texts."""
+    sets = {t or "": shingle_set(t) for _, t in data}
+    texts, up = list(sets), {t: t for t in sets}
+
+    def root(t):
+        while up[t] != t:
+            t = up[t]
+        return t
+
+    for i, a in enumerate(texts):
+        for b in texts[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both):
+                up[root(a)] = root(b)
+    least = {}
+    for d, t in data:
+        least[root(t or "")] = min(least.get(root(t or ""), (True, 0)), (d is None, d or 0))
+    return {(d, t) for d, t in data if (d is None, d or 0) == least[root(t or "")]}
+
+
+def test_shingles(docs):
+    stay = shingle_dedup(docs)
+    assert stay.columns == docs.columns
+    got = {(r.doc_id, r.text) for r in stay.select("doc_id", "text").collect()}
+    want = first_of_components(rows(docs))
+    assert {d for d, _ in got} == {d for d, _ in want} and got <= want
+
+
+def test_near_stage_finds_copies_at_four_fifths(spark):
+    import corpus_pipeline as P
+
+    base = [f"w{i}" for i in range(100)]
+    chain = [" ".join(f"x{j}" if i in (10 * j + 5, 95) else w for i, w in enumerate(base)) for j in range(3)]
+    texts = [" ".join(base), *chain, " ".join(base[:81]), " ".join(base[:80] + ["z"] * 20), " ".join(f"v{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60)) + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in P.near(spark, docs, "").collect()} == first_of_components(list(enumerate(texts)))
+
+
 @pytest.mark.parametrize("least", [1, 2, 3])
 def test_lines(docs, least):
     data = sorted({(key(d), xxhash.xxh64_intdigest((t or "").encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest((t or "").encode(), 42) >> 63), d, t) for d, t in rows(docs)}, key=lambda x: x[:2])
