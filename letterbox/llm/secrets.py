@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ _HINTS = ("passw", "secret", "token", "api")
 _ESCAPED_URL = re.compile("(?:%[0-9A-Fa-f]{2})+")
 _ESCAPED_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|(?:&#x[0-9A-Fa-f]{1,6};)+")
 _BASE64 = re.compile("[A-Za-z0-9+/_-]{16,}={0,2}")
+_NEXT_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+_SEPARATOR = re.compile("[/_+-]")
 #: what a compressed part may grow to; beyond it lies a bomb, not a text, and the part stays undecoded
 MOST = 1 << 26
 
@@ -108,18 +111,25 @@ def _readable(data: bytes) -> str | None:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    return text or None
 
 
 def _inflate(data: bytes) -> bytes | None:
     if not (data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
         return None
-    try:
-        engine = zlib.decompressobj(wbits=47)
-        out = engine.decompress(data, MOST)
-    except zlib.error:
-        return None
-    return out if engine.eof else None
+    out, most = [], MOST
+    while True:  # a file may have several members
+        try:
+            engine = zlib.decompressobj(wbits=47)
+            part = engine.decompress(data, most)
+        except zlib.error:
+            return b"".join(out) or None
+        if not engine.eof:
+            return b"".join(out) or None
+        out.append(part)
+        most, data = most - len(part), engine.unused_data
+        if data[:2] != b"\x1f\x8b" or most <= 0:
+            return b"".join(out)
 
 
 def _from_base64(raw: str) -> str | None:
@@ -149,9 +159,58 @@ def _unwrap(layer: _Layer) -> Iterator[_Layer]:
             for begin, end in lines:
                 if (inner := layer.slice(begin, end).unescape(pattern, decode)) is not None:
                     yield inner
+    done = 0
     for m in _BASE64.finditer(text):
-        if (inner := _from_base64(m[0])) is not None:
-            yield _Layer(inner, [layer.place(m.start(), m.end())] * len(inner))
+        if m.start() < done:
+            continue
+        for end, raw in _wrapped(text, m):
+            if (inner := _from_base64(raw)) is not None:
+                yield _Layer(inner, [layer.place(m.start(), end)] * len(inner))
+                done = end
+                break
+        else:
+            for at, inner in _parts(m[0]):
+                yield _Layer(inner, [layer.place(m.start() + at, m.end())] * len(inner))
+
+
+def _wrapped(text: str, first: re.Match) -> Iterator[tuple[int, str]]:
+    """(end, characters) of base64 that goes on over lines as long as the first, the longest reading first."""
+    raw, at, reads = first[0], first.end(), []
+    parts, width = [raw], len(raw)
+    while not parts[-1].endswith("=") and len(parts[-1]) == width and (m := _NEXT_LINE.match(text, at)) and len(m[1]) <= width:
+        parts.append(m[1])
+        at = m.end()
+        reads.append(at)
+    if reads:
+        yield reads[-1], "".join(parts)
+        if len(reads) > 1:  # the last line may be a word of the text after it
+            yield reads[-2], "".join(parts[:-1])
+
+
+def _parts(run: str) -> Iterator[tuple[int, str]]:
+    """(place, decoded text) of a run, and of what follows a separator where the run before it is misaligned."""
+    met = []
+    for at in (0, *(m.end() for m in _SEPARATOR.finditer(run))):
+        if len(run) - at < 16 or any((at - x) % 4 == 0 for x in met) or not _promising(run[at : at + 16]):
+            continue
+        if (inner := _from_base64(run[at:])) is not None:
+            met.append(at)
+            yield at, inner
+            if at == 0 and inner.isprintable():
+                return
+
+
+def _promising(head: str) -> bool:
+    """Whether what 16 characters of base64 decode to may begin a text or compressed data."""
+    head = head.rstrip("=")
+    data = base64.b64decode(head[: len(head) // 4 * 4].replace("-", "+").replace("_", "/"))
+    if data[:2] == b"\x1f\x8b" or data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
+        return True
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(data)
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -80,6 +80,26 @@ def test_encoded_secret_at_two_places():
     assert secrets.find(twice)[1] == [(0, 0, len(twice))]
 
 
+@pytest.mark.parametrize("width", [64, 76])
+def test_wrapped_base64(width):
+    plain = "line of prose\n" * 9 + SECRET + "\nmore of it" * 9
+    for data in (plain.encode(), gzip.compress(plain.encode() + bytes(range(32, 127)) * 3)):
+        raw = base64.b64encode(data).decode()
+        blob = "\n".join(raw[i : i + width] for i in range(0, len(raw), width))
+        for after in ("", "\n", "\n-----END-----\n", " and\nmore"):
+            assert secrets.find(f"x:\n{blob}{after}")[1] == [(3, 0, 3 + len(blob))]
+
+
+def test_base64_after_a_prefix_and_odd_contents():
+    raw = base64.b64encode(b"token = abcdefgh12345").decode()
+    for before in ("https://x/cb/", "data_", "a-b-", "q/"):
+        assert secrets.find(before + raw)[1] == [(len(before), 0, len(before + raw))]
+    for text in ("\ufeff" + SECRET, "a\u00a0b " + SECRET, "\x0c\u200b" + SECRET):
+        assert len(secrets.find(base64.b64encode(text.encode()).decode())[1]) == 1
+    members = gzip.compress(b"first ") + gzip.compress(SECRET.encode())
+    assert len(secrets.find(base64.b64encode(members).decode())[1]) == 1
+
+
 def test_base_patterns_as_written():
     texts = ["API_KEY='abcdefgh' apikey:abcdefg secret==x Token = '........'", "a" * 40 + " g" + "f" * 31, "AKIA" * 9, "ſecret: abcdefghi", "token:\ttoken: abcdefgh"]
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
