@@ -34,7 +34,7 @@ def text_candidates(docs: DataFrame, by: str = "doc_id", text: str = "text", com
     """``by``, extractor, raw of every pattern over a text column; native expressions only."""
     body = normalize_text(F.col(text))
     found = F.concat(pattern_suite(body, compat), detector_suite(body, compat))
-    hinted = docs.filter(F.col(text).rlike(r"@|[\[({<\s]at[\])}>\s]|&#|&commat;|fromCharCode|unescape|atob|email"))
+    hinted = docs.filter(F.col(text).rlike(r"(?i)@|[\[({<\s]at[\])}>\s]|&#|&commat;|fromCharCode|unescape|atob|email"))
     return hinted.select(by, F.explode(found).alias("c")).select(by, F.col("c.family").alias("extractor"), F.col("c.raw").alias("raw"))
 
 

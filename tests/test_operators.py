@@ -136,3 +136,10 @@ def test_images(spark):
     assert kept.count() == 20 and kept.filter("pos >= 98").count() == 2
     assert M.extractor_counts(spark.createDataFrame([(1, "a"), (1, "a")], "page_id int, extractor string")).first().n == 2
     assert spark.range(1).select(M.eta(F.lit(2), F.lit(4), F.lit(10))).first()[0] == 10
+
+
+def test_written_out_in_capitals(spark):
+    from letterbox.plans.pipeline import judge_texts
+
+    docs = spark.createDataFrame([(1, "write to john AT acme DOT com now"), (2, "nothing here")], "doc_id long, text string")
+    assert [(r.doc_id, r.email) for r in judge_texts(docs).select("doc_id", "email").collect()] == [(1, "john@acme.com")]
