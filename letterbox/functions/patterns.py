@@ -32,7 +32,7 @@ CAPTURES = {
     "attribute": [rf"data-(?:email|contact|mail)\s*=\s*[\"']({EM})[\"']", rf"x-(?:email|contact|mail)\s*=\s*[\"']({EM})[\"']"],
     "structured": [rf'"(?:email|contactPoint|hasEmail)"\s*:\s*"({EM})"', rf"itemprop\s*=\s*[\"'](?:email|contactPoint)[\"']\s*content\s*=\s*[\"']({EM})[\"']", rf"property\s*=\s*[\"'](?:og:email|vcard:email)[\"']\s*content\s*=\s*[\"']({EM})[\"']"],
     "css": [rf"content\s*:\s*[\"']({EM})[\"']"],
-    "script": [rf"(?:var|const|let)\s+\w+\s*=\s*[\"']({EM})[\"']"],
+    "assignment": [rf"(?:var|const|let)\s+\w+\s*=\s*[\"']({EM})[\"']"],
     "comment": [rf"<!--\s*({EM})\s*-->", rf"/\*\s*({EM})\s*\*/", rf"//\s*({EM})"],
 }
 #: detector patterns: (pattern, groups of which the first non-empty one is the find)
@@ -84,7 +84,7 @@ CHALLENGE = [
 ]
 CHALLENGE_ALONE = "var s,t,o,p,b,r,e,a,k,i,n,g,f"
 #: top-level domains that file suffixes share; an address may end in them
-REAL_TLDS = ["com", "ai", "pl", "py", "sh", "ps", "zip", "mov", "cab", "mobi", "rs", "st", "cc", "cr"]
+REAL_TLDS = ["com", "ai", "pl", "py", "sh", "ps", "zip", "mov", "cab", "mobi", "rs", "st", "cc", "cr", "pub", "dot"]
 #: labels of the reasons, in the order in which they are looked for
 REASONS = {
     "syntax": "Invalid email syntax",

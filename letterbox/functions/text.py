@@ -26,9 +26,17 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def _joined(text: Column, pattern: str) -> Column:
-    """user@domain.top from the three groups of every match."""
-    parts = F.arrays_zip(*[find_all(text, pattern, k).alias(f"g{k}") for k in (1, 2, 3)])
-    return F.transform(parts, lambda m: F.concat(m["g1"], F.lit("@"), m["g2"], F.lit("."), m["g3"]))
+    """user@domain.top from the three groups of every match; the text is searched once."""
+    return F.transform(find_all(text, pattern), lambda m: F.regexp_replace(m, pattern, "$1@$2.$3"))
+
+
+def _where(sign: Column, found: Column) -> Column:
+    """``found`` where a cheap sign of it is there; regular expressions that cannot match are not run."""
+    return F.when(sign, found).otherwise(none())
+
+
+def _has(text: Column, part: str) -> Column:
+    return F.contains(text, F.lit(part))
 
 
 def rot13(text: Column) -> Column:
@@ -55,20 +63,27 @@ def _decoded(text: Column, pattern: str, decode) -> Column:
 
 
 def written_out(text: Column) -> Column:
-    return F.concat(*[_joined(text, p) for p in P.AT_DOT])
+    words = text.rlike(r"(?i)\sat\s") & text.rlike(r"(?i)\sdot\s")
+    signs = [_has(text, "[at]"), _has(text, "{at}"), _has(text, "(at)"), _has(text, "<at>"), words, words]
+    return F.concat(*[_where(sign, _joined(text, p)) for sign, p in zip(signs, P.AT_DOT, strict=True)])
 
 
 def spaced(text: Column) -> Column:
-    return _joined(text, P.SPACED[0])
+    return _where(_has(text, "@"), _joined(text, P.SPACED[0]))
 
 
 def entities(text: Column) -> Column:
-    return F.concat(*[_joined(text, p) for p in P.ENTITIES])
+    return F.concat(*[_where(_has(text, sign), _joined(text, p)) for sign, p in zip(("&#64;", "&commat;", "&#x40;"), P.ENTITIES, strict=True)])
 
 
 def scripts(text: Column) -> Column:
     """Addresses put together or decoded by page scripts."""
-    return F.concat(_joined(text, P.JS_CONCAT[0]), _decoded(text, P.CHAR_CODES, from_char_codes), _decoded(text, P.UNESCAPE, from_percent), _decoded(text, P.ATOB, from_base64))
+    return F.concat(
+        _where(_has(text, "@") & _has(text, "+"), _joined(text, P.JS_CONCAT[0])),
+        _where(_has(text, "fromCharCode"), _decoded(text, P.CHAR_CODES, from_char_codes)),
+        _where(_has(text, "unescape"), _decoded(text, P.UNESCAPE, from_percent)),
+        _where(_has(text, "atob"), _decoded(text, P.ATOB, from_base64)),
+    )
 
 
 def extended(text: Column, compat: bool = False) -> Column:
@@ -91,10 +106,14 @@ def _tagged(family: str, raws: Column) -> Column:
 def pattern_suite(text: Column, compat: bool = False) -> Column:
     """Array of (family, raw) over all pattern families, in their order.
 
-    The families that only put a frame around a plain match add nothing to the set and are reached through
-    ``captures``. Texts without any sign of an address cost one scan each.
+    Families that put a frame around a plain match (``CAPTURES``) say where the address stood. Texts without
+    any sign of an address cost one scan.
     """
-    families = {"plain": find_all(text, P.EM), "extended": extended(text, compat), "written_out": written_out(text), "script": scripts(text), "entity": entities(text), "business": find_all(text, P.BUSINESS)}
+    plain = _has(text, "@")
+    families = {"plain": find_all(text, P.EM), "extended": extended(text, compat), "business": find_all(text, P.BUSINESS)}
+    families |= {k: captures(text, k) for k in P.CAPTURES}
+    families = {k: _where(plain, v) for k, v in families.items()}
+    families |= {"written_out": written_out(text), "script": scripts(text), "entity": entities(text)}
     if not compat:
         families["spaced"] = spaced(text)
     all_ = F.concat(*[_tagged(k, v) for k, v in families.items()])
@@ -110,9 +129,10 @@ def detector_suite(text: Column, compat: bool = False) -> Column:
         if len(groups) > 1 and not compat:
             both = F.arrays_zip(found.alias("a"), find_all(text, pattern, groups[1]).alias("b"))
             found = F.transform(both, lambda m: F.coalesce(F.nullif(m["a"], F.lit("")), m["b"]))
-        parts.append(_tagged(name, F.filter(found, lambda x: x != "")))
-    parts.append(_tagged("unicode", find_all(text, P.UNICODE)))
-    parts.append(_tagged("base64", find_all(text, P.BASE64_USER)))
+        sign = _has(text, "${") if name == "js_template" else _has(text, "@")
+        parts.append(_tagged(name, _where(sign, F.filter(found, lambda x: x != ""))))
+    parts.append(_tagged("unicode", _where(_has(text, "@"), find_all(text, P.UNICODE))))
+    parts.append(_tagged("base64", _where(_has(text, "@"), find_all(text, P.BASE64_USER))))
     if compat:
-        parts.append(_tagged("rot13", F.transform(find_all(text, P.ROT13), rot13)))
+        parts.append(_tagged("rot13", _where(_has(text, "@"), F.transform(find_all(text, P.ROT13), rot13))))
     return F.concat(*parts)

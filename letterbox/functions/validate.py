@@ -11,14 +11,28 @@ from pyspark.sql import functions as F
 from letterbox.functions import patterns as P
 from letterbox.functions.clean import domain_part, local_part, one_at
 
-#: fixed values: file suffixes an address found in markup often ends in
+#: fixed values: file suffixes an address found in markup often ends in (a longer list is a setting)
 FILE_SUFFIXES = [
-    "7z", "aac", "apk", "asp", "aspx", "avi", "avif", "bak", "bin", "bmp", "class", "com", "css", "csv", "dll", "doc", "docx", "eot", "exe", "flv", "gif",
-    "gz", "heic", "htm", "html", "ico", "iso", "jar", "java", "jpeg", "jpg", "js", "json", "log", "m4a", "mkv", "mov", "mp3", "mp4", "mpeg", "mpg", "msi",
-    "ogg", "otf", "pdf", "php", "png", "ppt", "pptx", "ps", "psd", "py", "rar", "rtf", "sh", "sql", "svg", "swf", "tar", "tif", "tiff", "tmp", "ttf", "txt",
-    "wav", "webm", "webp", "wma", "wmv", "woff", "woff2", "xls", "xlsx", "xml", "yaml", "yml", "zip",
+    "123", "3ds", "3g2", "3gp", "7z", "aac", "ai", "aif", "aiff", "apk", "arj", "asm", "asp", "aspx", "avif", "avi", "bak", "bat", "bin", "bmp",
+    "bz2", "c", "cab", "cbr", "cbz", "cda", "cer", "cfg", "cfm", "cgi", "class", "com", "cpp", "cr2", "cr3", "crw", "cs", "csr", "css", "csv", "cur",
+    "dat", "db", "dbf", "deb", "dll", "dmg", "dmp", "doc", "docm", "docx", "dot", "dotx", "drv", "dtb", "dwg", "dxf", "eps", "exe", "flac", "fla",
+    "flv", "fnt", "fon", "gadget", "gif", "gz", "h", "heic", "heif", "hqx", "htm", "html", "ico", "ics", "img", "ini", "iso", "jar", "java", "jpeg",
+    "jpg", "js", "json", "jsp", "key", "lnk", "log", "m4a", "m4v", "mcd", "mdb", "mid", "midi", "mkv", "mov", "mp3", "mp4", "mpa", "mpeg", "mpg",
+    "msi", "msu", "nef", "obj", "odp", "ods", "odt", "oft", "ogg", "opus", "orf", "ost", "otf", "p12", "p7c", "pagx", "pas", "pct", "pdb", "pdf",
+    "pem", "php", "pif", "pkg", "pl", "plugin", "png", "pps", "ppsm", "ppsx", "ppt", "pptm", "pptx", "ps", "psd", "pst", "pub", "py", "qt", "ra",
+    "ram", "rar", "raw", "rb", "rm", "rpm", "rss", "rtf", "sav", "sdf", "sh", "sitx", "sql", "sr2", "svg", "swf", "swift", "swo", "swp", "sys", "tar",
+    "tex", "tga", "thm", "tif", "tiff", "tmp", "toast", "ttf", "txt", "vcd", "vcf", "vcs", "vmdk", "vob", "wav", "webm", "webp", "woff", "woff2",
+    "wma", "wmv", "wpd", "wpl", "wsf", "xhtml", "xlr", "xls", "xlsb", "xlsm", "xlsx", "xml", "yuv", "zip", "zipx", "zpl",
+]
+#: fixed values: suffixes of links that are no pages
+CONTACT_SUFFIXES = [
+    ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".svg", ".webp", ".tiff", ".tif", ".ico", ".avif", ".heic", ".heif", ".raw", ".cr2", ".nef", ".orf",
+    ".sr2", ".mp3", ".wav", ".ogg", ".opus", ".aac", ".flac", ".m4a", ".mp4", ".avi", ".mov", ".wmv", ".flv", ".mkv", ".webm", ".m4v", ".3gp", ".mpg",
+    ".mpeg", ".zip", ".rar", ".tar", ".gz", ".7z", ".bz2", ".xz", ".exe", ".dll", ".bin", ".bat", ".sh", ".msi", ".iso", ".dmg", ".img", ".vmdk",
+    ".js", ".css", ".json", ".xml", ".pdf", ".xlsx", ".xls", ".csv", ".ppt", ".pptx", ".doc", ".docx", ".odt", ".ods", ".odp", ".rtf", ".tmp", ".bak",
+    ".swf", ".fla", ".swo", ".swp", ".log", ".db", ".sqlite", ".sql", ".py", ".java", ".cpp", ".c", ".h", ".php", ".html", ".htm", ".xhtml", ".woff",
+    ".woff2", ".ttf", ".otf", ".eot",
 ]
-CONTACT_SUFFIXES = [f".{x}" for x in FILE_SUFFIXES if x not in ("com", "class", "sh", "ps")]
 
 
 def any_of(words: Sequence[str]) -> str:
@@ -77,7 +91,7 @@ def additional_failure(email: Column) -> Column:
     return out
 
 
-def rejection_reason(email: Column, disposable: Column, has_mx: Column, unknown_mx_passes: bool = True, compat: bool = False) -> Column:
+def rejection_reason(email: Column, disposable: Column, has_mx: Column, unknown_mx_passes: bool = True, compat: bool = False, suffixes: Sequence[str] = FILE_SUFFIXES) -> Column:
     """The label of the first step that rejects an address, null for a valid one.
 
     ``disposable`` and ``has_mx`` come from joins; ``has_mx`` is null where no snapshot knows the domain.
@@ -87,7 +101,7 @@ def rejection_reason(email: Column, disposable: Column, has_mx: Column, unknown_
         F.when(~basic_syntax(email), P.REASONS["syntax"])
         .when(security_pattern(email), P.REASONS["security"])
         .when(F.coalesce(disposable, F.lit(False)), P.REASONS["disposable"])
-        .when(bad_suffix(email, compat=compat), P.REASONS["suffix"])
+        .when(bad_suffix(email, suffixes, compat), P.REASONS["suffix"])
         .when(no_mx, P.REASONS["mx"])
         .when(additional_failure(email).isNotNull(), P.REASONS["additional"])
     )

@@ -1,11 +1,13 @@
-"""Pages as rows of nodes, and the extractors that project addresses out of them.
+"""Pages as arrays of nodes, and the extractors that project addresses out of them.
 
-One Arrow pass turns HTML into an array of nodes per page; everything after it is DataFrame work. A node
-carries its ancestors, so that "inside" needs no join along the tree.
+One Arrow pass turns HTML into an array of nodes per page; everything after it is one expression over that
+array, so a plan parses each page once however many extractors or link rules read it. A node carries the last
+of its descendants: "inside" is an interval test within the page, without a join along the tree.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterbox.functions import patterns as P
-from letterbox.functions.text import detector_suite, find_all, normalize_text, pattern_suite
+from letterbox.functions.text import detector_suite, find_all, none, normalize_text, pattern_suite
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: an opening tag of the values ends an open one of the key
@@ -24,7 +26,13 @@ CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
     "td": frozenset(["td", "th", "tr", "tbody"]), "th": frozenset(["td", "th", "tr", "tbody"]), "option": frozenset(["option", "optgroup"]),
 }
-NODE = "struct<node_id:int,parent_id:int,depth:int,tag:string,attrs:map<string,string>,ancestors:array<int>,text:string,lines:array<string>>"
+#: elements nested deeper become siblings at this depth, as in browsers; nothing of them is lost
+DEEPEST = 512
+NODE = "struct<node_id:int,parent_id:int,last:int,tag:string,attrs:map<string,string>,text:string,lines:array<string>,kids:string,leaves:array<string>>"
+_KIND = pa.list_(pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("lines", pa.list_(pa.string())), ("kids", pa.string()), ("leaves", pa.list_(pa.string()))]))
+#: what a text without any form of an address does not have
+_SIGN = re.compile(r"(?i)@|[\[({<\s]at[\])}>\s]|&#|&commat;|fromCharCode|unescape|atob|email")
+_BREAK = "\0"
 
 
 class _Tree(HTMLParser):
@@ -34,68 +42,101 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
+        self.pieces: list[str] = []
         self.comments: list[str] = []
 
     def _node(self, tag: str, attrs) -> int:
         known: dict[str, str] = {}
         for k, v in attrs:
             known.setdefault(k.lower(), v or "")
-        self.nodes.append({"node_id": len(self.nodes), "parent_id": self.open[-1] if self.open else -1, "depth": len(self.open), "tag": tag, "attrs": known, "ancestors": list(self.open), "parts": []})
+        self.nodes.append({"node_id": len(self.nodes), "parent_id": self.open[-1] if self.open else -1, "tag": tag, "attrs": known, "from": len(self.pieces)})
         return len(self.nodes) - 1
 
+    def _end(self, down_to: int) -> None:
+        for k in self.open[down_to:]:
+            self.nodes[k] |= {"last": len(self.nodes) - 1, "to": len(self.pieces)}
+        del self.open[down_to:]
+
     def handle_starttag(self, tag, attrs):
         while self.open and tag in CLOSED_BY.get(self.nodes[self.open[-1]]["tag"], ()):
-            self.open.pop()
+            self._end(len(self.open) - 1)
+        if len(self.open) >= DEEPEST:
+            self._end(len(self.open) - 1)
         at = self._node(tag, attrs)
         if tag == "br":
-            self._write("\n", True)
-        if tag not in VOID:
+            self.pieces.append(_BREAK)
+        if tag in VOID:
+            self.nodes[at] |= {"last": at, "to": self.nodes[at]["from"]}
+        else:
             self.open.append(at)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open and self.nodes[self.open[-1]]["tag"] == tag:
-            self.open.pop()
+        if tag not in VOID:
+            self._end(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[k]]["tag"] == tag:
-                del self.open[k:]
+                self._end(k)
                 return
 
     def handle_data(self, data):
-        self._write(data, False)
+        self.pieces.append(data.replace(_BREAK, "�"))
 
     def handle_comment(self, data):
         self.comments.append(data)
 
-    def _write(self, data: str, line_break: bool) -> None:
-        for k in self.open:
-            self.nodes[k]["parts"].append((data, line_break))
 
+def json_leaves(raw: str) -> list[str]:
+    """The string values of a JSON text, not its keys; none where it is no JSON."""
+    try:
+        todo = [json.loads(raw)]
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif isinstance(x, (list, dict)):
+            todo += list(x.values() if isinstance(x, dict) else x)[::-1]
+    return out
+
+
+def parse(html: str | None, every_text: bool = True) -> tuple[list[dict], list[str]]:
+    """(nodes, comments) of a page; never fails, an empty page has none.
 
-def parse(html: str | None) -> tuple[list[dict], list[str]]:
-    """(nodes, comments) of a page; never fails, an empty page has none."""
+    ``every_text`` off: only texts that links, buttons and scripts have, or that show a sign of an address.
+    """
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
+    tree._end(0)
+    children: dict[int, list[int]] = {}
     for n in tree.nodes:
-        parts = n.pop("parts")
-        n["text"] = "".join(x for x, brk in parts if not brk)
-        n["lines"] = "".join("\0" if brk else x for x, brk in parts).split("\0")
+        children.setdefault(n["parent_id"], []).append(n["node_id"])
+    whole = ["".join(tree.pieces[n.pop("from") : n.pop("to")]) for n in tree.nodes]
+    for n, raw in zip(tree.nodes, whole, strict=True):
+        text = raw.replace(_BREAK, "")
+        shown = every_text or n["tag"] in ("a", "button", "script") or "btn" in n["attrs"].get("class", "") or "button" in n["attrs"].get("class", "") or _SIGN.search(raw)
+        n["text"] = text if shown else None
+        n["lines"] = raw.split(_BREAK) if shown and _BREAK in raw else None
+        own = children.get(n["node_id"], ())
+        n["kids"] = joined if len(own) >= 3 and "@" in text and "@" in (joined := "".join(whole[k].replace(_BREAK, "").strip() for k in own)) else None
+        n["leaves"] = json_leaves(text) if n["tag"] == "script" and n["attrs"].get("type") == "application/ld+json" else None
     return tree.nodes, tree.comments
 
 
-def parse_dom(pages: DataFrame) -> DataFrame:
-    """page_id, url, nodes, comments and html of every row of ``pages`` (page_id, url, html)."""
-    kind = pa.list_(pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("ancestors", pa.list_(pa.int32())), ("text", pa.string()), ("lines", pa.list_(pa.string()))]))
+def parse_dom(pages: DataFrame, every_text: bool = True) -> DataFrame:
+    """page_id, url, html, nodes, comments of every row of ``pages`` (page_id, url, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                both = [parse(x) for x in part.column(2).to_pylist()]
-                nodes = pa.array([[{**n, "attrs": list(n["attrs"].items())} for n in x] for x, _ in both], kind)
+                both = [parse(x, every_text) for x in part.column(2).to_pylist()]
+                nodes = pa.array([[{**n, "attrs": list(n["attrs"].items())} for n in x] for x, _ in both], _KIND)
                 yield pa.RecordBatch.from_arrays([*part.columns, nodes, pa.array([c for _, c in both], pa.list_(pa.string()))], ["page_id", "url", "html", "nodes", "comments"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -108,21 +149,33 @@ def nodes(dom: DataFrame) -> DataFrame:
 
 
 def attr(name: str) -> Column:
-    return F.get(F.transform(F.filter(F.map_entries("attrs"), lambda e: e["key"] == name), lambda e: e["value"]), F.lit(0))
+    return F.try_element_at(F.col("attrs"), F.lit(name))
 
 
-def has_part(name: str, parts: list[str]) -> Column:
-    """Whether the attribute contains one of ``parts``."""
-    value = F.coalesce(attr(name), F.lit(""))
-    return value.rlike("|".join(re.escape(x) for x in parts))
+class Node:
+    """The fields of one node in an expression over the array of nodes."""
 
+    def __init__(self, x: Column):
+        self.x, self.id, self.tag, self.parent, self.last = x, x["node_id"], x["tag"], x["parent_id"], x["last"]
+        self.text = F.coalesce(x["text"], F.lit(""))
+        self.lines = F.coalesce(x["lines"], F.array(self.text))
 
-def _out(df: DataFrame, name: str, raws: Column) -> DataFrame:
-    return df.select("page_id", F.lit(name).alias("extractor"), F.explode(raws).alias("raw")).filter(F.col("raw").isNotNull() & (F.col("raw") != ""))
+    def attr(self, name: str) -> Column:
+        return F.try_element_at(self.x["attrs"], F.lit(name))
 
+    def value(self, name: str) -> Column:
+        return F.coalesce(self.attr(name), F.lit(""))
 
-def _values(*names: str) -> Column:
-    return F.array_compact(F.array(*[attr(n) for n in names]))
+    def has(self, name: str, parts: list[str]) -> Column:
+        """Whether the attribute contains one of ``parts``."""
+        return self.value(name).rlike("|".join(re.escape(x) for x in parts))
+
+    @staticmethod
+    def array_of(value: Column) -> Column:
+        return F.array_compact(F.array(value))
+
+    def values(self, *names: str) -> Column:
+        return F.array_compact(F.array(*[self.attr(n) for n in names]))
 
 
 def _em(*columns: Column) -> Column:
@@ -133,102 +186,102 @@ def _raws(suite: Column) -> Column:
     return F.transform(suite, lambda x: x["raw"])
 
 
-def extract(dom: DataFrame, compat: bool = False) -> DataFrame:
-    """All candidates: page_id, extractor, raw; the union of the extractors below."""
-    n = nodes(dom)
-    parts = [mailto_links(n), data_attributes(n), block_text(n, compat), page_text(dom, compat), detector(dom, compat), all_attributes(n), meta_tags(n), json_ld(n), comments(dom), hidden(n, compat), split_element(n), split_siblings(n), named_elements(n), iframes(n), form_controls(n), link_rel(n)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+def _trim(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def mailto_links(n: DataFrame) -> DataFrame:
-    href = F.regexp_replace(attr("href"), "^mailto:", "")
-    return _out(n.filter((F.col("tag") == "a") & F.startswith(attr("href"), F.lit("mailto:"))), "mailto", F.array(F.trim(F.substring_index(F.substring_index(href, "?", 1), "#", 1))))
+def _has_at(text: Column) -> Column:
+    return F.contains(text, F.lit("@"))
 
 
-def data_attributes(n: DataFrame) -> DataFrame:
-    return _out(n, "data attribute", _values("data-email", "data-contact", "data-mail"))
+def _mailto(n: Node) -> Column:
+    rest = F.regexp_replace(n.attr("href"), "^mailto:", "")
+    return F.when((n.tag == "a") & F.startswith(n.attr("href"), F.lit("mailto:")), F.array(_trim(F.substring_index(F.substring_index(rest, "?", 1), "#", 1))))
 
 
-def block_text(n: DataFrame, compat: bool = False) -> DataFrame:
+def _block_text(n: Node, compat: bool) -> Column:
     """Lines of text blocks; line breaks part them."""
-    blocks = n.filter(F.col("tag").isin("p", "div", "span", "td", "th", "li", "section")).select("page_id", F.explode("lines").alias("line"))
-    return _out(blocks.filter(F.contains("line", F.lit("@")) | F.col("line").rlike("(?i)\\bat\\b")), "block text", _raws(pattern_suite(normalize_text(F.col("line")), compat)))
+    found = F.flatten(F.transform(n.lines, lambda line: _raws(pattern_suite(normalize_text(line), compat))))
+    return F.when(n.tag.isin("p", "div", "span", "td", "th", "li", "section") & n.text.rlike(r"(?i)@|\bat\b"), found)
 
 
-def _root_text(compat: bool) -> Column:
-    roots = F.filter("nodes", lambda x: x["parent_id"] == -1)
-    return normalize_text(F.array_join(F.transform(roots, lambda x: x["text"] if compat else F.array_join(x["lines"], " ")), " "))
-
-
-def page_text(dom: DataFrame, compat: bool = False) -> DataFrame:
-    return _out(dom, "page text", _raws(pattern_suite(_root_text(compat), compat)))
-
-
-def detector(dom: DataFrame, compat: bool = False) -> DataFrame:
-    return _out(dom, "detector", _raws(detector_suite(_root_text(compat), compat)))
+def _attributes(n: Node) -> Column:
+    hit = F.map_filter(n.x["attrs"], lambda k, v: k.isin(*P.ATTRIBUTES) & _has_at(v))
+    return F.flatten(F.transform(F.map_values(hit), lambda v: find_all(v, P.EM)))
 
 
-def all_attributes(n: DataFrame) -> DataFrame:
-    hit = F.map_filter("attrs", lambda k, v: k.isin(*P.ATTRIBUTES) & F.contains(v, F.lit("@")))
-    return _out(n, "attribute", F.flatten(F.transform(F.map_values(hit), lambda v: find_all(v, P.EM))))
+def _meta(n: Node) -> Column:
+    content = n.attr("content")
+    named = F.when(F.contains(n.attr("property"), F.lit("email")), F.array(content)).otherwise(none())
+    return F.when((n.tag == "meta") & content.isNotNull(), F.concat(_em(content), named))
 
 
-def meta_tags(n: DataFrame) -> DataFrame:
-    content = attr("content")
-    named = F.when(F.contains(attr("property"), F.lit("email")), F.array(content)).otherwise(F.array().cast("array<string>"))
-    return _out(n.filter((F.col("tag") == "meta") & content.isNotNull()), "meta", F.concat(_em(content), named))
+def _json_ld(n: Node) -> Column:
+    leaves = F.filter(n.x["leaves"], lambda x: x.rlike(P.WHOLE))
+    return F.when(n.x["leaves"].isNotNull(), F.concat(leaves, find_all(n.text, P.EM)))
 
 
-def json_strings(raw: Column) -> Column:
-    """String leaves of a JSON text: its quoted literals, unescaped."""
-    quoted = find_all(raw, r'"((?:[^"\\]|\\.)*)"', 0)
-    return F.transform(quoted, lambda q: F.get_json_object(F.concat(F.lit('{"v":'), q, F.lit("}")), "$.v"))
+def _hidden(n: Node, compat: bool) -> Column:
+    found = F.concat(_raws(pattern_suite(normalize_text(n.text), compat)), n.values("data-email", "data-contact", "data-mail"))
+    return F.when(n.value("style").rlike(r"display: ?none|visibility: ?hidden"), found)
 
 
-def json_ld(n: DataFrame) -> DataFrame:
-    leaves = F.filter(json_strings(F.col("text")), lambda x: x.rlike(P.WHOLE))
-    return _out(n.filter((F.col("tag") == "script") & (attr("type") == "application/ld+json")), "json-ld", F.concat(leaves, find_all(F.col("text"), P.EM)))
+def _split_element(n: Node) -> Column:
+    halves = F.split(_trim(n.text), "@")
+    whole = F.concat(_trim(F.get(halves, F.lit(0))), F.lit("@"), _trim(F.get(halves, F.lit(1))))
+    return F.when(_has_at(n.text), F.filter(F.array(F.when(F.size(halves) == 2, whole)), lambda x: x.rlike(P.WHOLE)))
 
 
-def comments(dom: DataFrame) -> DataFrame:
-    return _out(dom.select("page_id", F.explode("comments").alias("c")), "comment", find_all(F.col("c"), P.EM))
+def _named_element(n: Node) -> Column:
+    words = ["email", "mail", "contact"]
+    return F.when(n.has("class", words) | n.has("id", words), _em(n.text, n.attr("data-email"), n.attr("data-contact"), n.attr("title"), n.attr("alt")))
 
 
-def hidden(n: DataFrame, compat: bool = False) -> DataFrame:
-    style = F.coalesce(attr("style"), F.lit(""))
-    rows = n.filter(style.rlike(r"display: ?none|visibility: ?hidden"))
-    return _out(rows, "hidden", F.concat(_raws(pattern_suite(normalize_text(F.col("text")), compat)), _values("data-email", "data-contact", "data-mail")))
+def _form_control(n: Node) -> Column:
+    field = (n.tag == "textarea") | ((n.tag == "input") & ((n.value("type") == "email") | n.has("name", ["email"]) | n.has("id", ["email"])))
+    return F.when(field, _em(n.attr("value"), n.attr("placeholder")))
 
 
-def split_element(n: DataFrame) -> DataFrame:
-    halves = F.split(F.trim(F.col("text")), "@")
-    whole = F.concat(F.trim(F.get(halves, F.lit(0))), F.lit("@"), F.trim(F.get(halves, F.lit(1))))
-    return _out(n.filter(F.size(halves) == 2), "split element", F.when(whole.rlike(P.WHOLE), F.array(whole)))
+def _of_node(n: Node, compat: bool) -> dict[str, Column]:
+    """Extractor name -> what it finds in one node (null: nothing)."""
+    return {
+        "mailto": _mailto(n),
+        "data attribute": n.values("data-email", "data-contact", "data-mail"),
+        "block text": _block_text(n, compat),
+        "attribute": _attributes(n),
+        "meta": _meta(n),
+        "json-ld": _json_ld(n),
+        "hidden": _hidden(n, compat),
+        "split element": _split_element(n),
+        "split siblings": find_all(n.x["kids"], P.EM),
+        "named element": _named_element(n),
+        "iframe": F.when(n.tag == "iframe", _em(n.attr("src"))),
+        "form control": _form_control(n),
+        "link rel": F.when((n.tag == "link") & n.has("rel", ["contact", "email"]), _em(n.attr("href"))),
+    }
 
 
-def split_siblings(n: DataFrame) -> DataFrame:
-    """Children's texts put side by side, once for each parent of three or more."""
-    kids = n.filter("parent_id >= 0").groupBy("page_id", "parent_id").agg(F.sort_array(F.collect_list(F.struct("node_id", F.trim(F.col("text")).alias("t")))).alias("kids"))
-    return _out(kids.filter(F.size("kids") >= 3), "split siblings", find_all(F.array_join(F.transform("kids", lambda k: k["t"]), ""), P.EM))
+def _root_text(compat: bool) -> Column:
+    roots = F.filter("nodes", lambda x: x["parent_id"] == -1)
+    return normalize_text(F.array_join(F.transform(roots, lambda x: F.coalesce(x["text"] if compat else F.array_join(x["lines"], " "), x["text"], F.lit(""))), " "))
 
 
-def named_elements(n: DataFrame) -> DataFrame:
-    words = ["email", "mail", "contact"]
-    rows = n.filter(has_part("class", words) | has_part("id", words))
-    return _out(rows, "named element", _em(F.col("text"), attr("data-email"), attr("data-contact"), attr("title"), attr("alt")))
+def _named(name: str, raws: Column) -> Column:
+    good = F.filter(F.coalesce(raws, none()), lambda x: x.isNotNull() & (x != ""))
+    return F.transform(good, lambda x: F.struct(F.lit(name).alias("extractor"), x.alias("raw")))
 
 
-def iframes(n: DataFrame) -> DataFrame:
-    return _out(n.filter("tag = 'iframe'"), "iframe", _em(attr("src")))
+def _named_finds(found: dict[str, Column]) -> Column:
+    return F.concat(*[_named(name, raws) for name, raws in found.items()])
 
 
-def form_controls(n: DataFrame) -> DataFrame:
-    field = (F.col("tag") == "textarea") | ((F.col("tag") == "input") & ((F.coalesce(attr("type"), F.lit("")) == "email") | has_part("name", ["email"]) | has_part("id", ["email"])))
-    return _out(n.filter(field), "form control", _em(attr("value"), attr("placeholder")))
+def finds(compat: bool = False) -> Column:
+    """Over the columns of ``parse_dom``: all candidates of a page, an array of (extractor, raw)."""
+    text = _root_text(compat)
+    page = {"page text": _raws(pattern_suite(text, compat)), "detector": _raws(detector_suite(text, compat)), "comment": F.flatten(F.transform("comments", lambda c: find_all(c, P.EM)))}
+    return F.concat(_named_finds(page), F.flatten(F.transform("nodes", lambda x: _named_finds(_of_node(Node(x), compat)))))
 
 
-def link_rel(n: DataFrame) -> DataFrame:
-    return _out(n.filter((F.col("tag") == "link") & has_part("rel", ["contact", "email"])), "link rel", _em(attr("href")))
+def extract(dom: DataFrame, compat: bool = False) -> DataFrame:
+    """All candidates: page_id, extractor, raw; every extractor reads the same parsed page."""
+    return dom.select("page_id", F.explode(finds(compat)).alias("c")).select("page_id", "c.extractor", "c.raw")

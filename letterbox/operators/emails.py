@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +18,26 @@ LAST = ("split siblings",)
 def first_per_key(candidates: DataFrame, by: list[str], compat: bool = False) -> DataFrame:
     """One row per (``by``, email): the cleaned key, the raw form it came first from, and all extractors.
 
-    ``candidates``: ``by`` columns, extractor, raw. A hash aggregate with map-side combine; no sort.
+    ``candidates``: ``by`` columns, extractor, raw, and where the text is at hand, email and example_context.
     """
-    keyed = candidates.withColumn("email", dedup_key(clean(F.col("raw"), compat)))
+    keyed = candidates if "email" in candidates.columns else candidates.withColumn("email", dedup_key(clean(F.col("raw"), compat)))
     order = F.struct(F.col("extractor").isin(*LAST).alias("late"), "extractor", "raw")
-    return keyed.groupBy(*by, "email").agg(F.min(order).alias("f"), F.sort_array(F.collect_set("extractor")).alias("extractors")).select(*by, "email", F.col("f.raw").alias("raw"), "extractors")
+    context = [F.max("example_context").alias("example_context")] if "example_context" in candidates.columns else []
+    found = keyed.groupBy(*by, "email").agg(F.min(order).alias("f"), F.sort_array(F.collect_set("extractor")).alias("extractors"), *context)
+    return found.select(*by, "email", F.col("f.raw").alias("raw"), "extractors", *(["example_context"] if context else []))
+
+
+def in_context(rows: DataFrame, text: str, compat: bool = False) -> DataFrame:
+    """``rows`` (raw beside the text it comes from) with email and example_context, and without the text."""
+    keyed = rows.withColumn("email", dedup_key(clean(F.col("raw"), compat)))
+    return keyed.withColumn("example_context", in_example_context(F.col("email"), F.col(text))).drop(text)
 
 
 def with_context(emails: DataFrame, texts: DataFrame, by: str, text: str) -> DataFrame:
-    """``emails`` with example_context, from the text of its page or document."""
+    """``emails`` with example_context, from the text of its page or document, for addresses that lost it.
+
+    Runs join nothing here: they judge the context where the candidates are found (``plans.pipeline``).
+    """
     right = texts.select(F.col(by).alias("_by"), F.col(text).alias("_text"))
     joined = emails.join(right, F.col(by) == F.col("_by"), "left")
     return joined.withColumn("example_context", F.coalesce(in_example_context(F.col("email"), F.col("_text")), F.lit(False))).drop("_by", "_text")
@@ -50,9 +63,9 @@ def usable_mx(records: DataFrame) -> DataFrame:
     return records.groupBy("domain").agg(F.max(F.coalesce(good, F.lit(False))).alias("has_mx"))
 
 
-def verdicts(emails: DataFrame, unknown_mx_passes: bool = True, compat: bool = False) -> DataFrame:
+def verdicts(emails: DataFrame, unknown_mx_passes: bool = True, compat: bool = False, suffixes: Sequence[str] = FILE_SUFFIXES) -> DataFrame:
     """``emails`` (email, disposable, has_mx; optionally example_context) with reason, null where accepted."""
-    reason = rejection_reason(F.col("email"), F.col("disposable"), F.col("has_mx"), unknown_mx_passes, compat)
+    reason = rejection_reason(F.col("email"), F.col("disposable"), F.col("has_mx"), unknown_mx_passes, compat, suffixes)
     reason = F.when(~well_formed(F.col("email")), "Not an address").otherwise(reason)
     if "example_context" in emails.columns:
         reason = F.when(well_formed(F.col("email")) & F.col("example_context"), "Example context").otherwise(reason)
@@ -71,4 +84,4 @@ def categorized(emails: DataFrame, categories: dict[str, list[str]] | None = Non
     return emails.withColumn("category", categorize(F.col("email"), categories))
 
 
-__all__ = ["FILE_SUFFIXES", "categorized", "disposable_lookup", "first_per_key", "mx_lookup", "suffix_matches", "usable_mx", "verdicts", "with_context"]
+__all__ = ["FILE_SUFFIXES", "categorized", "disposable_lookup", "first_per_key", "in_context", "mx_lookup", "suffix_matches", "usable_mx", "verdicts", "with_context"]

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from letterbox.functions.text import find_all
+from letterbox.functions.clean import let
+from letterbox.functions.text import find_all, none
 from letterbox.functions.validate import bad_contact_url
-from letterbox.operators.dom import attr, has_part, nodes
+from letterbox.operators.dom import Node
 
 #: words for "contact" in a dozen languages; a longer lexicon is a parameter (see sources.lexicons)
 KEYWORDS = ("contact", "kontakt", "contacto", "contato", "contatti", "contattaci", "contactez", "kapcsolat", "iletisim", "yhteystiedot", "impressum", "about", "support", "reach us", "get in touch", "feedback", "help", "контакт", "お問い合わせ", "联系", "문의")
@@ -25,6 +26,7 @@ REGIONS = {
     "sidebar": ((), ("sidebar", "side-nav", "side-menu", "widget", "sidebar-widget", "side-widget", "sidebar-menu", "side-navigation", "sidebar-nav"), ("sidebar",)),
     "breadcrumb": ((), ("breadcrumb", "breadcrumbs", "breadcrumb-nav"), ()),
 }
+#: fixed values: where structured data names a contact page
 JSON_URLS = (
     r'"url"\s*:\s*"([^"]*contact[^"]*)"', r'"contactPoint"\s*:\s*\{[^}]*"url"\s*:\s*"([^"]*)"', r'"contact"\s*:\s*\{[^}]*"url"\s*:\s*"([^"]*)"',
     r'"sameAs"\s*:\s*"([^"]*contact[^"]*)"', r'"url"\s*:\s*"([^"]*kontakt[^"]*)"', r'"url"\s*:\s*"([^"]*contacto[^"]*)"',
@@ -43,94 +45,125 @@ def absolute(base: Column, url: Column) -> Column:
     return F.when(F.startswith(url, F.lit("http")), url).otherwise(F.concat(base, slash, url))
 
 
-def _classes() -> Column:
-    return F.split(F.coalesce(attr("class"), F.lit("")), r"\s+")
+def _classes(n: Node) -> Column:
+    return F.split(n.value("class"), r"\s+")
 
 
-def region(name: str) -> Column:
+def _region(n: Node, name: str) -> Column:
     tags, classes, ids = REGIONS[name]
-    found = F.arrays_overlap(_classes(), F.array(*[F.lit(c) for c in classes]))
+    found = F.arrays_overlap(_classes(n), F.array(*[F.lit(c) for c in classes]))
     if tags:
-        found = found | F.col("tag").isin(*tags)
-    return found | F.coalesce(attr("id").isin(*ids), F.lit(False)) if ids else found
+        found = found | n.tag.isin(*tags)
+    return found | n.value("id").isin(*ids) if ids else found
 
 
-def _inside(n: DataFrame, outer: DataFrame, inner: Column) -> DataFrame:
-    """Nodes that satisfy ``inner`` below a node of ``outer``: one equi-join on (page, ancestor)."""
-    tops = outer.select(F.col("page_id").alias("_page"), F.col("node_id").alias("_top"))
-    low = n.filter(inner).withColumn("_up", F.explode("ancestors"))
-    return low.join(tops, (F.col("page_id") == F.col("_page")) & (F.col("_up") == F.col("_top")), "left_semi").drop("_up").dropDuplicates(["page_id", "node_id"])
+def _outer() -> Column:
+    """For each kind of enclosing element that a rule asks for, the spans (node_id, last) of its nodes."""
 
+    def spans(test) -> Column:
+        return F.transform(F.filter("nodes", lambda x: test(Node(x))), lambda x: F.struct(x["node_id"].alias("a"), x["last"].alias("b")))
 
-def link_rules(dom: DataFrame, keywords: Sequence[str] = KEYWORDS) -> DataFrame:
-    """page_id, rule, node_id, url (as written) of every rule but the guesses."""
-    n = nodes(dom)
-    href, content, text, title = attr("href"), attr("content"), F.col("text"), attr("title")
-    anchor = (F.col("tag") == "a") & href.isNotNull()
-    about = mentions(keywords, href, text, title)
-    rel, name, prop = F.coalesce(attr("rel"), F.lit("")), F.coalesce(attr("name"), F.lit("")), F.coalesce(attr("property"), F.lit(""))
-    either = F.array_compact(F.array(href, content))
-    point = F.coalesce(attr("itemprop"), F.lit("")).isin("contactPoint", "contactPage")
-    is_meta, is_link = F.col("tag") == "meta", F.col("tag") == "link"
+    def region(name: str) -> Column:
+        return spans(lambda n: _region(n, name))
+
+    typed = {
+        "organization": spans(lambda n: n.has("itemtype", ["schema.org/Organization"])),
+        "rdfa organization": spans(lambda n: n.has("typeof", ["Organization", "LocalBusiness"])),
+        "typed item": spans(lambda n: n.has("itemtype", ["ContactPage", "Organization"])),
+        "typed resource": spans(lambda n: n.has("typeof", ["ContactPage", "Organization"])),
+    }
+    return F.struct(*[v.alias(k) for k, v in (typed | {k: region(k) for k in REGIONS}).items()])
+
+
+def _of_node(n: Node, outer: Column, keywords: Sequence[str]) -> dict[str, Column]:
+    """Rule -> the URLs it takes from one node, as written (null: none)."""
+    href, content, text, title = n.attr("href"), n.attr("content"), n.text, n.attr("title")
+    rel, name, prop = n.value("rel"), n.value("name"), n.value("property")
+    is_meta, is_link, anchor = n.tag == "meta", n.tag == "link", (n.tag == "a") & href.isNotNull()
     contact_names = ["contact", "contact-url", "contact-page", "contact-us", "contactus"]
-    json = (F.col("tag") == "script") & (attr("type") == "application/ld+json")
-    data = F.array_compact(F.array(attr("data-contact"), attr("data-contact-url"), attr("data-contact-page")))
-    button = (F.col("tag") == "button") | F.arrays_overlap(_classes(), F.array(F.lit("btn"), F.lit("button")))
-    onclick, data_href = attr("onclick"), attr("data-href")
-
-    def rule(rows: DataFrame, label: str, urls: Column) -> DataFrame:
-        return rows.select("page_id", F.lit(label).alias("rule"), "node_id", F.explode(urls).alias("url"))
-
-    one = F.array(href)
-    org = n.filter(has_part("itemtype", ["schema.org/Organization"]))
-    rdfa = n.filter(has_part("typeof", ["Organization", "LocalBusiness"]))
-    out = [
-        rule(_inside(n, org, point), "organization", either),
-        rule(n.filter(json), "json contact point", F.array_compact(F.array(F.get_json_object(text, "$.contactPoint.url")))),
-        rule(_inside(n, rdfa, prop == "contactPoint"), "rdfa organization", either),
-        rule(n.filter(is_meta & F.contains(name, F.lit("contact")) & content.isNotNull()), "meta name", F.array(content)),
-        rule(n.filter(is_link & F.contains(rel, F.lit("contact")) & href.isNotNull()), "link relation", one),
-        rule(n.filter(has_part("itemtype", ["ContactPage"])), "contact page type", either),
-        rule(n.filter(anchor & about), "anchor", one),
-        rule(n.filter(is_meta & (name.isin(*contact_names) | prop.isin(*contact_names)) & F.startswith(content, F.lit("http"))), "meta url", F.array(content)),
-        rule(n.filter(json), "json url", F.concat(*[find_all(text, p, 1) for p in JSON_URLS])),
-        *[rule(_inside(n, n.filter(region(k)), anchor & (mentions(keywords, href, text) if k == "breadcrumb" else about)), k, one) for k in REGIONS],
-        rule(n.filter(button & mentions(keywords, F.coalesce(onclick, F.lit("")))), "button onclick", F.slice(find_all(onclick, r"""['"]([^'"]*contact[^'"]*)['"]""", 1), 1, 1)),
-        rule(n.filter(button & data_href.isNotNull() & mentions(keywords, data_href)), "button link", F.array(data_href)),
-        rule(_button_parent(n, button & mentions(keywords, text)), "button parent", one),
-        rule(n.filter((F.col("tag") == "form") & attr("action").isNotNull() & mentions(keywords, attr("action"))), "form action", F.array(attr("action"))),
-        rule(n.filter(F.size(data) > 0), "data attribute", data),
-        rule(n.filter(is_link & rel.isin("contact", "contact-page") & href.isNotNull()), "link contact", one),
-        rule(n.filter(is_meta & (prop == "og:url") & mentions(keywords, content)), "og url", F.array(content)),
-        rule(n.filter(is_meta & (name == "twitter:url") & mentions(keywords, content)), "card url", F.array(content)),
-        rule(n.filter(is_link & (rel == "canonical") & mentions(keywords, href)), "canonical", one),
-        rule(n.filter(is_link & (rel == "alternate") & mentions(keywords, href)), "alternate", one),
-        rule(_inside(n, n.filter(has_part("itemtype", ["ContactPage", "Organization"])), anchor & mentions(keywords, href)), "typed item", one),
-        rule(n.filter(F.coalesce(attr("itemprop"), F.lit("")).isin("url", "contactPoint") & href.isNotNull() & mentions(keywords, href)), "item property", one),
-        rule(_inside(n, n.filter(has_part("typeof", ["ContactPage", "Organization"])), anchor & mentions(keywords, href)), "typed resource", one),
-    ]
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return found.filter(F.col("url") != "")
-
-
-def _button_parent(n: DataFrame, button: Column) -> DataFrame:
-    kids = n.filter(button).select(F.col("page_id").alias("_page"), F.col("parent_id").alias("_parent"))
-    return n.filter((F.col("tag") == "a") & attr("href").isNotNull()).join(kids, (F.col("page_id") == F.col("_page")) & (F.col("node_id") == F.col("_parent")), "left_semi")
-
-
-def guesses(prefixes: Sequence[str] = GUESS_PREFIXES, words: Sequence[str] = GUESS_WORDS) -> Column:
-    return F.array(*[F.lit(f"/{p}{w}") for p in prefixes for w in words])
-
-
-def contact_candidates(bases: DataFrame, rules: DataFrame | None = None, with_guesses: bool = True) -> DataFrame:
-    """page_id, url (absolute), pos, is_guess: distinct, without files; ``bases`` has page_id and base."""
+    json = (n.tag == "script") & (n.value("type") == "application/ld+json")
+    button = (n.tag == "button") | F.arrays_overlap(_classes(n), F.array(F.lit("btn"), F.lit("button")))
+    onclick, data_href = n.attr("onclick"), n.attr("data-href")
+    up = F.get(F.col("nodes"), n.parent)
+    one, either = F.array(href), n.values("href", "content")
+
+    def inside(which: str) -> Column:
+        return F.exists(outer[which], lambda o: (o["a"] < n.id) & (n.id <= o["b"]))
+
+    def link(test: Column, urls: Column = one) -> Column:
+        return F.when(test, urls)
+
+    about = mentions(keywords, href, text, title)
+    regions = {k: link(anchor & (mentions(keywords, href, text) if k == "breadcrumb" else about) & inside(k)) for k in REGIONS}
+    return {
+        "organization": link(n.value("itemprop").isin("contactPoint", "contactPage") & inside("organization"), either),
+        "json contact point": link(json, n.array_of(F.get_json_object(text, "$.contactPoint.url"))),
+        "rdfa organization": link((prop == "contactPoint") & inside("rdfa organization"), either),
+        "meta name": link(is_meta & F.contains(name, F.lit("contact")) & content.isNotNull(), F.array(content)),
+        "link relation": link(is_link & F.contains(rel, F.lit("contact")) & href.isNotNull()),
+        "contact page type": link(n.has("itemtype", ["ContactPage"]), either),
+        "anchor": link(anchor & about),
+        "meta url": link(is_meta & (name.isin(*contact_names) | prop.isin(*contact_names)) & F.startswith(content, F.lit("http")), F.array(content)),
+        "json url": link(json, F.concat(*[find_all(text, p, 1) for p in JSON_URLS])),
+        **regions,
+        "button onclick": link(button & onclick.isNotNull() & mentions(keywords, onclick), F.slice(find_all(onclick, r"""['"]([^'"]*contact[^'"]*)['"]""", 1), 1, 1)),
+        "button link": link(button & data_href.isNotNull() & mentions(keywords, data_href), F.array(data_href)),
+        "button parent": link(button & (up["tag"] == "a") & mentions(keywords, text), F.array_compact(F.array(F.try_element_at(up["attrs"], F.lit("href"))))),
+        "form action": link((n.tag == "form") & n.attr("action").isNotNull() & mentions(keywords, n.attr("action")), F.array(n.attr("action"))),
+        "data attribute": n.values("data-contact", "data-contact-url", "data-contact-page"),
+        "link contact": link(is_link & rel.isin("contact", "contact-page") & href.isNotNull()),
+        "og url": link(is_meta & (prop == "og:url") & mentions(keywords, content), F.array(content)),
+        "card url": link(is_meta & (name == "twitter:url") & mentions(keywords, content), F.array(content)),
+        "canonical": link(is_link & (rel == "canonical") & mentions(keywords, href)),
+        "alternate": link(is_link & (rel == "alternate") & mentions(keywords, href)),
+        "typed item": link(anchor & mentions(keywords, href) & inside("typed item")),
+        "item property": link(n.value("itemprop").isin("url", "contactPoint") & href.isNotNull() & mentions(keywords, href)),
+        "typed resource": link(anchor & mentions(keywords, href) & inside("typed resource")),
+    }
+
+
+def found_links(keywords: Sequence[str] = KEYWORDS) -> Column:
+    """Over the columns of ``parse_dom``: array of (rule, node_id, url as written) of every rule but the guesses."""
+
+    def by(rule: str, n: Node, urls: Column) -> Column:
+        good = F.filter(F.coalesce(urls, none()), lambda u: u.isNotNull() & (u != ""))
+        return F.transform(good, lambda u: F.struct(F.lit(rule).alias("rule"), n.id.alias("node_id"), u.alias("url")))
+
+    def rules(n: Node, outer: Column) -> Column:
+        return F.concat(*[by(rule, n, urls) for rule, urls in _of_node(n, outer, keywords).items()])
+
+    # the spans of regions are bound once for all nodes
+    return let(_outer(), lambda outer: F.flatten(F.transform("nodes", lambda x: rules(Node(x), outer))))
+
+
+def link_rules(dom: DataFrame, keywords: Sequence[str] = KEYWORDS) -> DataFrame:
+    """page_id, rule, node_id, url (as written) of every rule but the guesses; the page is parsed once."""
+    return dom.select("page_id", F.explode(found_links(keywords)).alias("l")).select("page_id", "l.rule", "l.node_id", "l.url")
+
+
+def guess_paths(prefixes: Sequence[str] = GUESS_PREFIXES, words: Sequence[str] = GUESS_WORDS) -> list[str]:
+    return [f"/{p}{w}" for p in prefixes for w in words]
+
+
+def guesses(paths: Sequence[str] | None = None) -> Column:
+    return F.array(*[F.lit(p) for p in (paths or guess_paths())])
+
+
+def base_of(url: Column) -> Column:
+    """Scheme and host of a URL, empty where it has none."""
+    return F.regexp_extract(url, "^(https?://[^/?#]+)", 1)
+
+
+def contact_candidates(bases: DataFrame, rules: DataFrame | None = None, with_guesses: bool = True, paths: Sequence[str] | None = None) -> DataFrame:
+    """page_id, url (absolute), pos, is_guess: distinct, without files; ``bases`` has page_id and base.
+
+    The whole list, for inspection; ``best_url`` takes the best of a page without listing the guesses.
+    """
     parts = []
     if rules is not None:
         parts.append(rules.join(bases, "page_id").select("page_id", absolute(F.col("base"), F.col("url")).alias("url"), F.col("node_id").alias("pos"), F.lit(False).alias("is_guess")))
     if with_guesses:
-        parts.append(bases.select("page_id", "base", F.posexplode(guesses()).alias("pos", "path")).select("page_id", absolute(F.col("base"), F.col("path")).alias("url"), "pos", F.lit(True).alias("is_guess")))
+        parts.append(bases.select("page_id", "base", F.posexplode(guesses(paths)).alias("pos", "path")).select("page_id", absolute(F.col("base"), F.col("path")).alias("url"), "pos", F.lit(True).alias("is_guess")))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -138,10 +171,26 @@ def contact_candidates(bases: DataFrame, rules: DataFrame | None = None, with_gu
     return out.groupBy("page_id", "url").agg(F.min(F.struct("is_guess", "pos")).alias("f")).select("page_id", "url", "f.pos", "f.is_guess")
 
 
+def _rank(url: Column, is_guess: Column, pos: Column, prefer_links: bool) -> list[Column]:
+    keys = [F.when(F.contains(F.lower(url), F.lit("contact")), 0).otherwise(1).alias("k"), F.octet_length(url).alias("n"), is_guess.alias("guess"), pos.alias("pos")]
+    return [is_guess.alias("late"), *keys] if prefer_links else keys
+
+
 def best_contact(candidates: DataFrame, prefer_links: bool = False) -> DataFrame:
     """The first of each page: "contact" in it, then the shortest in bytes, then the earliest."""
-    keys = [F.when(F.contains(F.lower("url"), F.lit("contact")), 0).otherwise(1), F.octet_length("url"), F.col("is_guess"), F.col("pos"), F.col("url")]
-    if prefer_links:
-        keys.insert(0, F.col("is_guess"))
-    own = Window.partitionBy("page_id").orderBy(*keys)
-    return candidates.withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
+    best = F.min(F.struct(*_rank(F.col("url"), F.col("is_guess"), F.col("pos"), prefer_links), "url")).alias("b")
+    return candidates.groupBy("page_id").agg(best).select("page_id", "b.url", "b.pos", F.col("b.guess").alias("is_guess"))
+
+
+def best_url(base: Column, links: Column, prefer_links: bool = False, paths: Sequence[str] | None = None) -> Column:
+    """The URL that ``best_contact`` takes from ``links`` (array of (node_id, url)) and the guesses, within the row.
+
+    Of guesses with one base only two can win: the shortest, and the shortest that says "contact".
+    """
+    every = [(len(p.encode()), i, p) for i, p in enumerate(paths or guess_paths())]
+    guessed = {min(every), *([min(said)] if (said := [g for g in every if "contact" in g[2].lower()]) else [])} if every else set()
+    own = F.transform(links, lambda u: F.struct(absolute(base, u["url"]).alias("url"), F.lit(False).alias("is_guess"), u["node_id"].alias("pos")))
+    made = F.array(*[F.struct(absolute(base, F.lit(p)).alias("url"), F.lit(True).alias("is_guess"), F.lit(i).alias("pos")) for _, i, p in sorted(guessed)]) if guessed else F.slice(own, 1, 0)
+    good = F.filter(F.concat(own, made), lambda u: ~bad_contact_url(u["url"]))
+    ranked = F.transform(good, lambda u: F.struct(*_rank(u["url"], u["is_guess"], u["pos"], prefer_links), u["url"].alias("url")))
+    return F.when(base != "", F.array_min(ranked)["url"])

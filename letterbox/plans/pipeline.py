@@ -4,50 +4,78 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from letterbox.functions.text import detector_suite, normalize_text, pattern_suite
+from letterbox.functions.text import detector_suite, find_all, normalize_text, pattern_suite
+from letterbox.functions.validate import FILE_SUFFIXES
+from letterbox.functions import patterns as P
 from letterbox.operators import dom as D
 from letterbox.operators import links as L
-from letterbox.operators.emails import categorized, disposable_lookup, first_per_key, mx_lookup, verdicts, with_context
+from letterbox.operators.emails import categorized, disposable_lookup, first_per_key, in_context, mx_lookup, verdicts
 from letterbox.operators.metrics import outcomes
 from letterbox.sources.tables import pages_of_domains
 
 
 @dataclass(frozen=True)
 class Dims:
-    """Look-up tables; None where a run has none."""
+    """Look-up tables and word lists of a run; None or empty where it has none of its own."""
 
     disposable: DataFrame | None = None
     mx: DataFrame | None = None
+    suffixes: tuple[str, ...] = tuple(FILE_SUFFIXES)
+    keywords: tuple[str, ...] = L.KEYWORDS
+    guesses: tuple[str, ...] | None = None
+    unknown_mx_passes: bool = True
 
 
-def judge(emails: DataFrame, dims: Dims = Dims(), unknown_mx_passes: bool = True, compat: bool = False) -> DataFrame:
+def judge(emails: DataFrame, dims: Dims = Dims(), compat: bool = False) -> DataFrame:
     """Look-ups and verdicts; without a table its step rejects nothing."""
     emails = disposable_lookup(emails, dims.disposable) if dims.disposable is not None else emails.withColumn("disposable", F.lit(False))
     emails = mx_lookup(emails, dims.mx) if dims.mx is not None else emails.withColumn("has_mx", F.lit(None).cast("boolean"))
-    return verdicts(emails, unknown_mx_passes, compat)
+    return verdicts(emails, dims.unknown_mx_passes, compat, dims.suffixes)
+
+
+def text_suite(text: Column, compat: bool = False) -> Column:
+    """Array of (family, raw) of every pattern over a text."""
+    body = normalize_text(text)
+    return F.concat(pattern_suite(body, compat), detector_suite(body, compat))
+
+
+#: a text without any of these has no form of an address
+HINT = r"(?i)@|[\[({<\s]at[\])}>\s]|&#|&commat;|fromCharCode|unescape|atob|email"
+
+
+def _beside(docs: DataFrame, by: str, text: str, compat: bool) -> DataFrame:
+    hinted = docs.filter(F.col(text).rlike(HINT))
+    rows = hinted.select(F.col(by), F.col(text).alias("_body"), F.explode(text_suite(F.col(text), compat)).alias("c"))
+    return rows.select(by, "_body", F.col("c.family").alias("extractor"), F.col("c.raw").alias("raw"))
 
 
 def text_candidates(docs: DataFrame, by: str = "doc_id", text: str = "text", compat: bool = False) -> DataFrame:
     """``by``, extractor, raw of every pattern over a text column; native expressions only."""
-    body = normalize_text(F.col(text))
-    found = F.concat(pattern_suite(body, compat), detector_suite(body, compat))
-    hinted = docs.filter(F.col(text).rlike(r"(?i)@|[\[({<\s]at[\])}>\s]|&#|&commat;|fromCharCode|unescape|atob|email"))
-    return hinted.select(by, F.explode(found).alias("c")).select(by, F.col("c.family").alias("extractor"), F.col("c.raw").alias("raw"))
+    return _beside(docs, by, text, compat).drop("_body")
 
 
 def judge_texts(docs: DataFrame, by: str = "doc_id", text: str = "text", dims: Dims = Dims(), compat: bool = False) -> DataFrame:
-    """Every candidate address of ``docs`` with its reason; null where it is accepted."""
-    emails = first_per_key(text_candidates(docs, by, text, compat), [by], compat)
-    return judge(with_context(emails, docs, by, text), dims, compat=compat)
+    """Every candidate address of ``docs`` with its reason; null where it is accepted.
+
+    The context of a candidate is judged beside its text, so texts are neither shuffled nor joined back.
+    """
+    return judge(first_per_key(in_context(_beside(docs, by, text, compat), "_body", compat), [by], compat), dims, compat)
+
+
+def _page_candidates(dom: DataFrame, by: list[str], compat: bool) -> DataFrame:
+    """``by``, extractor, raw, email and example_context of parsed pages."""
+    rows = dom.select(*by, F.col("html").alias("_body"), F.explode(D.finds(compat)).alias("c"))
+    return in_context(rows.select(*by, "_body", "c.extractor", "c.raw"), "_body", compat)
 
 
 def judge_pages(pages: DataFrame, dims: Dims = Dims(), compat: bool = False) -> DataFrame:
-    """The same over HTML, through all DOM extractors."""
-    emails = first_per_key(D.extract(D.parse_dom(pages), compat), ["page_id"], compat)
-    return judge(with_context(emails, pages, "page_id", "html"), dims, compat=compat)
+    """The same over HTML, through all DOM extractors; one parse of each page."""
+    found = _page_candidates(D.parse_dom(pages, every_text=compat), ["page_id"], compat)
+    return judge(first_per_key(found, ["page_id"], compat), dims, compat)
 
 
 def extract(pages: DataFrame, dims: Dims = Dims(), categories: dict | None = None, compat: bool = False) -> DataFrame:
@@ -61,21 +89,53 @@ def explain_page(pages: DataFrame, page_id: int, dims: Dims = Dims(), compat: bo
     return judge_pages(pages.filter(F.col("page_id") == page_id), dims, compat)
 
 
-def contact_pages(pages: DataFrame, prefer_links: bool = False) -> DataFrame:
-    """page_id and the URL chosen as its site's contact page."""
-    dom = D.parse_dom(pages)
-    bases = pages.select("page_id", F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("base")).filter(F.col("base") != "")
-    return L.best_contact(L.contact_candidates(bases, L.link_rules(dom)), prefer_links)
+def extractor_report(pages: DataFrame, compat: bool = False) -> DataFrame:
+    """page_id, extractor, n (distinct finds), and under "source" the mailto addresses only the HTML source shows."""
+    dom = D.parse_dom(pages, every_text=compat)
+    links = find_all(F.col("html"), rf"(?i)mailto:({P.EM})", 1)
+    parsed = F.transform(F.filter("c", lambda x: x["extractor"] == "mailto"), lambda x: x["raw"])
+    rows = dom.select("page_id", "html", D.finds(compat).alias("c"))
+    missed = F.transform(F.array_except(links, parsed), lambda x: F.struct(F.lit("source").alias("extractor"), x.alias("raw")))
+    each = rows.select("page_id", F.explode(F.array_distinct(F.concat("c", missed))).alias("x"))
+    return each.groupBy("page_id", F.col("x.extractor").alias("extractor")).agg(F.count("*").alias("n"))
+
+
+def _contact_url(dims: Dims, prefer_links: bool) -> Column:
+    links = F.transform(L.found_links(dims.keywords), lambda x: F.struct(x["node_id"].alias("node_id"), x["url"].alias("url")))
+    return L.best_url(L.base_of(F.col("url")), links, prefer_links, dims.guesses)
+
+
+def contact_pages(pages: DataFrame, prefer_links: bool = False, dims: Dims = Dims()) -> DataFrame:
+    """page_id and the URL chosen as its site's contact page; nothing is shuffled."""
+    dom = D.parse_dom(pages, every_text=False)
+    return dom.select("page_id", _contact_url(dims, prefer_links).alias("url")).filter(F.col("url").isNotNull())
+
+
+def _once(df: DataFrame) -> DataFrame:
+    """Rows that several branches read: to the shared folder where spark.checkpoint.dir names one, else kept."""
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def run_sites(domains: DataFrame, pages: DataFrame, dims: Dims = Dims(), compat: bool = False) -> DataFrame:
-    """domain, outcome, n_emails: homepage and contact page of every domain, addresses counted once a domain."""
-    sites = pages_of_domains(domains, pages, compat).select("domain", "reached", "page_id", "url", "html")
-    home = sites.filter("reached")
-    chosen = contact_pages(home.select("page_id", "url", "html"), prefer_links=not compat).select("page_id", F.col("url").alias("contact_url"))
-    second = pages.select(F.col("url").alias("contact_url"), F.col("page_id").alias("contact_id"))
-    places = home.join(chosen, "page_id", "left").join(second, "contact_url", "left")
-    where = places.select("domain", F.explode(F.array_distinct(F.array_compact(F.array("page_id", "contact_id")))).alias("page_id")).distinct()
-    found = extract(pages.join(where.select("page_id").distinct(), "page_id", "left_semi"), dims, compat=compat)
-    counted = where.join(found.select("page_id", "email"), "page_id").groupBy("domain").agg(F.count_distinct("email").alias("n_emails"))
+    """domain, outcome, n_emails: homepage and contact page of every domain, addresses counted once a domain.
+
+    Homepages are parsed once, for candidates and contact page together; what is kept of them is narrow.
+    """
+    sites = _once(pages_of_domains(domains, pages.select("page_id", "url"), compat).select("domain", "reached", "page_id"))
+    home = sites.filter("reached").select(F.col("page_id").alias("_home"), "domain").join(pages.select("page_id", "url", "html"), F.col("_home") == F.col("page_id"))
+    dom = D.parse_dom(home.select("page_id", "url", "html").dropDuplicates(["page_id"]), every_text=compat)
+    first = dom.select("page_id", "html", D.finds(compat).alias("c"), _contact_url(dims, prefer_links=not compat).alias("contact_url"))
+    first = first.select("page_id", "contact_url", F.explode_outer("c").alias("c"), F.col("html").alias("_body"))
+    first = _once(in_context(first.select("page_id", "contact_url", "c.extractor", "c.raw", "_body"), "_body", compat))
+    chosen = first.select("page_id", "contact_url").distinct().filter(F.col("contact_url").isNotNull())
+    second = pages.select(F.col("page_id").alias("contact_id"), F.col("url").alias("_url"), "html").join(chosen.select("contact_url").distinct(), F.col("_url") == F.col("contact_url"), "left_semi")
+    found = _page_candidates(D.parse_dom(second.select(F.col("contact_id").alias("page_id"), F.col("_url").alias("url"), "html"), every_text=compat), ["page_id", "url"], compat)
+    found = found.join(chosen.select(F.col("page_id").alias("_home"), "contact_url"), F.col("url") == F.col("contact_url"))
+    columns = [F.col("extractor"), F.col("raw"), F.col("email"), F.col("example_context")]
+    both = first.filter(F.col("raw").isNotNull()).select(F.col("page_id").alias("_home"), *columns).unionByName(found.select("_home", *columns))
+    owned = both.join(sites.select("domain", F.col("page_id").alias("_page")), F.col("_home") == F.col("_page")).drop("_home", "_page")
+    good = judge(first_per_key(owned, ["domain"], compat), dims, compat).filter(F.col("reason").isNull())
+    counted = good.groupBy("domain").agg(F.count("*").alias("n_emails"))
     return outcomes(sites.select("domain", "reached").join(counted, "domain", "left").withColumn("n_emails", F.coalesce("n_emails", F.lit(0))))

@@ -63,12 +63,16 @@ def host(url: Column) -> Column:
 
 
 def pages_of_domains(domains: DataFrame, pages: DataFrame, compat: bool = False) -> DataFrame:
-    """Each domain with its page, https before http; page columns are null for unresolved ones."""
+    """Each domain with its page, https before http; page columns are null for unresolved ones.
+
+    Hosts are reduced to an identifier first; bodies meet only the pages that were chosen.
+    """
     if compat:
         domains = domains.filter(~bad_suffix(F.concat(F.lit("https://"), F.col("domain")), compat=True))
-    keyed = pages.withColumns({"_host": host(F.col("url")), "_https": F.startswith("url", F.lit("https:"))})
-    best = keyed.groupBy("_host").agg(F.max_by(F.struct(*pages.columns), F.struct("_https", -F.col("page_id"))).alias("p"))
-    return domains.join(best, F.col("domain") == F.col("_host"), "left").select("domain", F.col("p").isNotNull().alias("reached"), "p.*")
+    keyed = pages.select(host(F.col("url")).alias("_host"), F.startswith("url", F.lit("https:")).alias("_https"), F.col("page_id").alias("_page"))
+    best = keyed.groupBy("_host").agg(F.min(F.when(F.col("_https"), F.col("_page"))).alias("_s"), F.min("_page").alias("_any")).select("_host", F.coalesce("_s", "_any").alias("_page"))
+    chosen = domains.join(best, F.col("domain") == F.col("_host"), "left").select("domain", "_page")
+    return chosen.join(pages, F.col("_page") == F.col("page_id"), "left").select("domain", F.col("_page").isNotNull().alias("reached"), *pages.columns)
 
 
 def resolve_urls(links: DataFrame, base: str = "base", url: str = "url", into: str = "resolved") -> DataFrame:
