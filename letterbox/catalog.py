@@ -326,10 +326,9 @@ SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDE
 
 @_query(_RANK)
 def contact_rank_top1(spark, sf_dir):
-    pages = _read(spark, sf_dir, "pages")
-    bases = pages.select("page_id", F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("base"))
-    rules = pages.select("page_id", F.explode(T.find_all(F.col("html"), '<a href="([^"]*)"', 1)).alias("url")).withColumn("node_id", F.lit(0))
-    return L.best_contact(L.contact_candidates(bases, rules)).select("page_id", "url")
+    hrefs = F.transform(T.find_all(F.col("html"), '<a href="([^"]*)"', 1), lambda u: F.struct(F.lit(0).alias("node_id"), u.alias("url")))
+    best = L.best_url(L.base_of(F.col("url")), hrefs)
+    return _read(spark, sf_dir, "pages").select("page_id", F.explode(F.array_compact(F.array(best))).alias("url"))
 
 
 @_query()

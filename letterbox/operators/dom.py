@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterbox.functions import patterns as P
+from letterbox.functions.clean import let
 from letterbox.functions.text import detector_suite, find_all, none, normalize_text, pattern_suite
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -201,7 +202,7 @@ def _mailto(n: Node) -> Column:
 
 def _block_text(n: Node, compat: bool) -> Column:
     """Lines of text blocks; line breaks part them."""
-    found = F.flatten(F.transform(n.lines, lambda line: _raws(pattern_suite(normalize_text(line), compat))))
+    found = F.flatten(F.transform(F.transform(n.lines, normalize_text), lambda line: _raws(pattern_suite(line, compat))))
     return F.when(n.tag.isin("p", "div", "span", "td", "th", "li", "section") & n.text.rlike(r"(?i)@|\bat\b"), found)
 
 
@@ -222,7 +223,7 @@ def _json_ld(n: Node) -> Column:
 
 
 def _hidden(n: Node, compat: bool) -> Column:
-    found = F.concat(_raws(pattern_suite(normalize_text(n.text), compat)), n.values("data-email", "data-contact", "data-mail"))
+    found = F.concat(let(normalize_text(n.text), lambda text: _raws(pattern_suite(text, compat))), n.values("data-email", "data-contact", "data-mail"))
     return F.when(n.value("style").rlike(r"display: ?none|visibility: ?hidden"), found)
 
 
@@ -277,9 +278,9 @@ def _named_finds(found: dict[str, Column]) -> Column:
 
 def finds(compat: bool = False) -> Column:
     """Over the columns of ``parse_dom``: all candidates of a page, an array of (extractor, raw)."""
-    text = _root_text(compat)
-    page = {"page text": _raws(pattern_suite(text, compat)), "detector": _raws(detector_suite(text, compat)), "comment": F.flatten(F.transform("comments", lambda c: find_all(c, P.EM)))}
-    return F.concat(_named_finds(page), F.flatten(F.transform("nodes", lambda x: _named_finds(_of_node(Node(x), compat)))))
+    page = let(_root_text(compat), lambda text: _named_finds({"page text": _raws(pattern_suite(text, compat)), "detector": _raws(detector_suite(text, compat))}))
+    comments = _named_finds({"comment": F.flatten(F.transform("comments", lambda c: find_all(c, P.EM)))})
+    return F.concat(page, comments, F.flatten(F.transform("nodes", lambda x: _named_finds(_of_node(Node(x), compat)))))
 
 
 def extract(dom: DataFrame, compat: bool = False) -> DataFrame:

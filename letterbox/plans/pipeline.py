@@ -8,9 +8,10 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from letterbox.functions import patterns as P
+from letterbox.functions.clean import let
 from letterbox.functions.text import detector_suite, find_all, normalize_text, pattern_suite
 from letterbox.functions.validate import FILE_SUFFIXES
-from letterbox.functions import patterns as P
 from letterbox.operators import dom as D
 from letterbox.operators import links as L
 from letterbox.operators.emails import categorized, disposable_lookup, first_per_key, in_context, mx_lookup, verdicts
@@ -39,8 +40,7 @@ def judge(emails: DataFrame, dims: Dims = Dims(), compat: bool = False) -> DataF
 
 def text_suite(text: Column, compat: bool = False) -> Column:
     """Array of (family, raw) of every pattern over a text."""
-    body = normalize_text(text)
-    return F.concat(pattern_suite(body, compat), detector_suite(body, compat))
+    return let(normalize_text(text), lambda body: F.concat(pattern_suite(body, compat), detector_suite(body, compat)))
 
 
 #: a text without any of these has no form of an address
@@ -108,7 +108,8 @@ def _contact_url(dims: Dims, prefer_links: bool) -> Column:
 def contact_pages(pages: DataFrame, prefer_links: bool = False, dims: Dims = Dims()) -> DataFrame:
     """page_id and the URL chosen as its site's contact page; nothing is shuffled."""
     dom = D.parse_dom(pages, every_text=False)
-    return dom.select("page_id", _contact_url(dims, prefer_links).alias("url")).filter(F.col("url").isNotNull())
+    # a filter on the URL would be pushed below it and choose it twice; an explode is not
+    return dom.select("page_id", F.explode(F.array_compact(F.array(_contact_url(dims, prefer_links)))).alias("url"))
 
 
 def _once(df: DataFrame) -> DataFrame:
