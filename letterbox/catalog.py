@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from letterbox import oracle as O
 from letterbox.functions import clean as C
 from letterbox.functions import patterns as P
 from letterbox.functions import text as T
 from letterbox.functions import validate as V
 from letterbox.functions.categorize import CATEGORIES, categorize
-from letterbox.functions.ocr_text import ocr_emails
+from letterbox.functions.ocr_text import KNOWN, MISREAD, ocr_emails
 from letterbox.operators import dom as D
 from letterbox.operators import emails as E
 from letterbox.operators import links as L
@@ -79,87 +80,66 @@ def email_scan_pages(spark, sf_dir):
     return pages.select("page_id", F.explode(T.find_all(F.col("html"), P.EM)).alias("raw")).groupBy("page_id", "raw").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT conv_id, turn, replace(replace(replace(text, chr(10), ' '), chr(13), ' '), chr(9), ' ') AS text FROM conversations WHERE text IS NOT NULL AND text = trim(text)")
+@_query(f"SELECT conv_id, turn, {O.normalized('text')} AS text FROM conversations")
 def text_normalize(spark, sf_dir):
-    return _read(spark, sf_dir, "conversations").filter(F.col("text") == F.trim("text")).select("conv_id", "turn", T.normalize_text(F.col("text")).alias("text"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_text(F.col("text")).alias("text"))
 
 
-@_query()
+_DOCS = f"SELECT doc_id, {O.normalized('text')} AS t FROM documents"
+_DOC_FINDS = O.finds(f"({_DOCS})", "doc_id", "t")
+
+
+@_query(_DOC_FINDS)
+def text_candidates(spark, sf_dir):
+    return pipeline.text_candidates(_read(spark, sf_dir, "documents"))
+
+
+@_query(f"WITH {O.judged(_DOC_FINDS, 'SELECT doc_id, text AS body FROM documents', 'doc_id')} SELECT * FROM judged")
 def document_verdicts(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-def _clean_query(name, step, forms, sql):
-    rows = ",".join(map(str, forms))
+@_query(FEED + O.finds(f"(SELECT cand_id, {O.normalized(feeds.FRAMES)} AS t FROM feed)", "cand_id", "t"))
+def framed_candidates(spark, sf_dir):
+    feed = feeds.candidates(spark, sf_dir).withColumn("text", F.expr(feeds.FRAMES))
+    return pipeline.text_candidates(feed, "cand_id")
 
-    def run(spark, sf_dir):
-        feed = feeds.candidates(spark, sf_dir).filter(C.one_at(F.col("raw"))).filter(F.col("form").isin(*forms))
-        return feed.select("cand_id", "raw", step(F.col("raw")).alias("cleaned"))
 
-    run.__name__ = name
-    local = "split_part(raw, '@', 1)"
-    good = f"length({sql.format(local=local)}) >= 2"
-    _query(FEED + f"SELECT cand_id, raw, CASE WHEN {good} THEN {sql.format(local=local)} || '@' || split_part(raw, '@', 2) ELSE raw END AS cleaned FROM feed WHERE form IN ({rows}) AND length(raw) - length(replace(raw, '@', '')) = 1")(run)
-
-
-_ALL = tuple(x for x in range(feeds.FORMS) if x not in (2, 3, 4, 5))
-_NAMES = "|".join(P.COMMON_NAMES)
-_clean_query("clean_phone", C.strip_phone, _ALL, r"regexp_extract({local}, '^(?:\+?[\d\-\s]+?\d)([a-zA-Z].*)$', 1)")
-_clean_query("clean_hours", C.strip_hours, _ALL, r"lower(regexp_extract({local}, '^(?:\d{{1,2}}(?::\d{{2}})?\s*(?:am|pm|AM|PM)\s*[-–—]\s*\d{{1,2}}(?::\d{{2}})?\s*(?:am|pm|AM|PM))([a-zA-Z].*)$', 1))")
-_clean_query("clean_year", C.strip_year, _ALL, r"regexp_extract(lower({local}), '^(?:\d{{4}}(?:-\d{{2,4}})?\.?)(" + _NAMES + ")$', 1)")
-_clean_query("clean_percent", C.strip_percent, _ALL, "regexp_extract(lower({local}), '^(?:%[0-9a-f]{{2}})+([a-z]+)$', 1)")
-_clean_query("clean_letter", C.strip_letter, _ALL, "CASE WHEN lower({local}) IN ('" + "','".join(P.COMMON_NAMES) + "') THEN '' ELSE regexp_extract(lower({local}), '^[a-z](" + _NAMES + ")$', 1) END")
-_PREFIX = "lower(split_part(raw, '@', 2))"
-_clean_query(
-    "clean_domain_prefix", C.strip_domain, _ALL,
-    "CASE WHEN starts_with(lower({local}), " + _PREFIX + ") AND regexp_extract(substr(lower({local}), length(" + _PREFIX + ") + 1), '^([a-z]+)', 1) IN ('" + "','".join(P.COMMON_NAMES) + "')"
-    " THEN regexp_extract(substr(lower({local}), length(" + _PREFIX + ") + 1), '^([a-z]+)', 1)"
-    " WHEN starts_with(lower({local}), split_part(" + _PREFIX + ", '.', 1)) AND regexp_extract(substr(lower({local}), length(split_part(" + _PREFIX + ", '.', 1)) + 1), '^([a-z]+)', 1) IN ('" + "','".join(P.COMMON_NAMES) + "')"
-    " THEN regexp_extract(substr(lower({local}), length(split_part(" + _PREFIX + ", '.', 1)) + 1), '^([a-z]+)', 1) ELSE '' END",
-)
-
-
-def _decode_query(name, find, form, value):
+def _clean_query(name, step):
     def run(spark, sf_dir):
-        feed = feeds.candidates(spark, sf_dir).filter(F.col("form") == form)
-        return feed.select("cand_id", F.explode(find(F.col("raw"))).alias("email"))
+        feed = feeds.candidates(spark, sf_dir)
+        return feed.select("cand_id", "raw", step(F.col("raw")).alias("cleaned"))
 
-    run.__name__ = name
-    _query(FEED + f"SELECT cand_id, {value} AS email FROM feed WHERE form = {form}")(run)
+    run.__name__ = f"clean_{name}" if name != "domain" else "clean_domain_prefix"
+    _query(FEED + f"SELECT cand_id, raw, {O.cleaned('raw', name)} AS cleaned FROM feed")(run)
 
 
-_decode_query("decode_brackets", T.written_out, 2, "regexp_replace(raw, '^(.*) \\[at\\] (.*) \\[dot\\] (.*)$', '\\1@\\2.\\3')")
-_decode_query("decode_at_dot", T.written_out, 3, "regexp_replace(raw, '^(.*) at (.*) dot (.*)$', '\\1@\\2.\\3')")
-_decode_query("decode_js_concat", T.scripts, 4, "regexp_replace(raw, '^\"(.*)\" \\+ \"@\" \\+ \"(.*)\" \\+ \"\\.\" \\+ \"(.*)\"$', '\\1@\\2.\\3')")
-_decode_query("decode_unescape", T.scripts, 5, "replace(regexp_extract(raw, '\"(.*)\"', 1), '%40', '@')")
-_decode_query("decode_rot13", lambda c: F.array(T.rot13(c)), 0, "translate(raw, 'abcdefghijklmnopqrstuvwxyz', 'nopqrstuvwxyzabcdefghijklm')")
+for _name, _step in (("phone", C.strip_phone), ("hours", C.strip_hours), ("year", C.strip_year), ("percent", C.strip_percent), ("letter", C.strip_letter), ("domain", C.strip_domain)):
+    _clean_query(_name, _step)
 
 
-@_query(FEED + "SELECT cand_id, loc || '@' || dom AS email FROM feed")
-def decode_char_codes(spark, sf_dir):
-    feed = feeds.candidates(spark, sf_dir)
-    plain = F.concat("loc", F.lit("@"), "dom")
-    codes = F.array_join(F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("string")), ", ")
-    return feed.select("cand_id", F.explode(T.scripts(F.concat(F.lit("String.fromCharCode("), codes, F.lit(")")))).alias("email"))
-
+def _decode_query(name, find, text):
+    def run(spark, sf_dir):
+        feed = feeds.candidates(spark, sf_dir).withColumn("text", F.expr(text))
+        return feed.select("cand_id", F.explode(find(F.col("text"))).alias("email"))
 
-@_query(FEED + "SELECT cand_id, loc || '@' || dom AS email FROM feed")
-def decode_base64(spark, sf_dir):
-    feed = feeds.candidates(spark, sf_dir)
-    coded = F.base64(F.concat("loc", F.lit("@"), "dom").cast("binary"))
-    return feed.select("cand_id", F.explode(T.scripts(F.concat(F.lit("atob('"), coded, F.lit("')")))).alias("email"))
+    run.__name__ = name
+    _query(FEED + "SELECT cand_id, loc || '@' || dom AS email FROM feed")(run)
 
 
-@_query(FEED + "SELECT cand_id, loc || '@' || dom AS email FROM feed")
-def decode_entities(spark, sf_dir):
-    feed = feeds.candidates(spark, sf_dir)
-    return feed.select("cand_id", F.explode(T.entities(F.concat("loc", F.lit("&#64;"), "seg", F.lit("&#46;"), "tld"))).alias("email"))
+_decode_query("decode_brackets", T.written_out, "loc || ' [at] ' || seg || ' [dot] ' || tld")
+_decode_query("decode_at_dot", T.written_out, "'write to ' || loc || ' at ' || seg || ' dot ' || tld || ' now'")
+_decode_query("decode_js_concat", T.scripts, """'x = "' || loc || '" + "@" + "' || seg || '" + "." + "' || tld || '"'""")
+_decode_query("decode_unescape", T.scripts, """'unescape("' || loc || '%40' || dom || '")'""")
+_decode_query("decode_char_codes", T.scripts, "'String.fromCharCode(' || array_join(transform(filter(split(loc || '@' || dom, ''), c -> c <> ''), c -> CAST(ascii(c) AS STRING)), ', ') || ')'")
+_decode_query("decode_base64", T.scripts, "'atob(\\'' || base64(CAST(loc || '@' || dom AS BINARY)) || '\\')'")
+_decode_query("decode_entities", T.entities, "loc || '&#64;' || seg || '&#46;' || tld")
+_decode_query("decode_spaced", T.spaced, "loc || ' @ ' || seg || ' . ' || tld")
 
 
-@_query(FEED + "SELECT cand_id, loc || '@' || dom AS email FROM feed")
-def decode_spaced(spark, sf_dir):
-    feed = feeds.candidates(spark, sf_dir)
-    return feed.select("cand_id", F.explode(T.spaced(F.concat("loc", F.lit(" @ "), "seg", F.lit(" . "), "tld"))).alias("email"))
+@_query(FEED + "SELECT cand_id, translate(raw, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS twin FROM feed")
+def decode_rot13(spark, sf_dir):
+    return feeds.candidates(spark, sf_dir).select("cand_id", T.rot13(F.col("raw")).alias("twin"))
 
 
 _KEY = f"CASE WHEN {_DOMAIN} IN ('gmail.com', 'googlemail.com') THEN replace({_LOCAL}, '.', '') || '@' || {_DOMAIN} ELSE email END"
@@ -171,37 +151,19 @@ def normalize_first(spark, sf_dir):
     return rows.groupBy(F.col("key").alias("email")).agg(F.count("*").alias("n"), F.min("raw").alias("raw"))
 
 
-_CONTEXT = "|".join(P.EXAMPLE_WORDS)
-
-
 @_query(
-    f"WITH m AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '{P.EM}'))) AS email, lower(text) AS low FROM documents),"
-    " p AS (SELECT *, strlen(substr(low, 1, strpos(low, email) - 1)) AS before FROM m),"
-    " w AS (SELECT *, greatest(before - 100, 0) AS st FROM p) "
-    "SELECT doc_id, email, list_bool_or(list_transform(["
-    + ",".join(f"'{w}'" for w in P.EXAMPLE_WORDS)
-    + "], lambda k: strpos(win, k) > 0 AND abs(strpos(win, k) - 1 - (before - st)) < 50)) AS example FROM (SELECT *, substr(low, CAST(st + 1 AS BIGINT), CAST(before - st + length(email) + 100 AS BIGINT)) AS win FROM w WHERE strlen(low) = length(low))"
+    f"WITH m AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '{P.EM}'))) AS email, {O._bytes('lower(text)')} AS low FROM documents)"
+    f" SELECT doc_id, email, {O.example('low', 'email')} AS example FROM m"
 )
 def context_filter(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").filter(F.octet_length("text") == F.length("text"))
-    rows = docs.filter(F.contains("text", F.lit("@"))).select("doc_id", "text", F.explode(F.array_distinct(F.transform(T.find_all(F.col("text"), P.EM), F.lower))).alias("email"))
+    docs = _read(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@")))
+    rows = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(T.find_all(F.col("text"), P.EM), F.lower))).alias("email"))
     return rows.select("doc_id", "email", V.in_example_context(F.col("email"), F.col("text")).alias("example"))
 
 
-_TLD = "regexp_extract(email, '([^.]*)$', 1)"
-_SYNTAX = f"regexp_matches(email, '{_q(P.SYNTAX)}') AND contains({_DOMAIN}, '.') AND NOT regexp_matches({_LOCAL}, '^\\.|\\.$') AND NOT regexp_matches({_DOMAIN}, '^-|-$')"
-_SECURITY = f"regexp_matches(email, '{_q(V.any_of(P.SECURITY_WORDS))}')"
-_SUFFIX = f"{_TLD} IN ({','.join(repr(x) for x in V.FILE_SUFFIXES if x not in P.REAL_TLDS)})"
-_MORE = (
-    f"strlen({_LOCAL}) NOT BETWEEN 1 AND 64 OR strlen({_DOMAIN}) NOT BETWEEN 3 AND 253 OR contains(email, '..') OR regexp_matches({_LOCAL}, '^\\.|\\.$') OR regexp_matches({_DOMAIN}, '^-|-$')"
-    f" OR regexp_matches({_LOCAL}, '{_q(P.FORBIDDEN)}') OR regexp_matches({_LOCAL}, '\\d{{6,}}') OR regexp_matches({_LOCAL}, '^\\d{{3,6}}[a-zA-Z]|^\\+?[\\d\\-\\s]+?\\d[a-zA-Z]')"
-    f" OR (regexp_matches({_LOCAL}, '^(?:{'|'.join(P.CITIES)})') AND regexp_matches({_LOCAL}, '\\d{{4,}}')) OR NOT regexp_matches({_TLD}, '^[a-zA-Z]{{2,63}}$') OR regexp_matches(email, '{_q(V.any_of(P.TEST_ADDRESSES))}')"
-)
+_SUFFIX = O.SUFFIX
 _DIMS = f", mx AS ({feeds.MX_SQL}), dis AS ({feeds.DISPOSABLE_SQL}) "
-_REASON = (
-    f"CASE WHEN NOT ({_SYNTAX}) THEN '{P.REASONS['syntax']}' WHEN {_SECURITY} THEN '{P.REASONS['security']}' WHEN dis.domain IS NOT NULL THEN '{P.REASONS['disposable']}'"
-    f" WHEN {_SUFFIX} THEN '{P.REASONS['suffix']}' WHEN NOT coalesce(has_mx, true) THEN '{_q(P.REASONS['mx'])}' WHEN {_MORE} THEN '{P.REASONS['additional']}' ELSE 'accepted' END"
-)
+_REASON = O.reason("dis.domain IS NOT NULL", "has_mx")
 _JUDGED = _EMAILS + _DIMS + f", j AS (SELECT cand_id, email, {_REASON} AS reason FROM e LEFT JOIN dis ON dis.domain = {_DOMAIN} LEFT JOIN mx ON mx.domain = {_DOMAIN}) "
 
 
@@ -240,18 +202,14 @@ def bad_suffix(spark, sf_dir):
     return _emails(spark, sf_dir).filter(V.bad_suffix(F.col("email"))).select("cand_id", "email")
 
 
-@_query(_EMAILS + "SELECT DISTINCT cand_id, email FROM e WHERE ends_with(email, '.png') OR ends_with(email, '.fr')")
+@_query(_EMAILS + f"SELECT cand_id, email FROM e WHERE lower(regexp_extract(email, '([^.]*)$', 1)) IN ({','.join(repr(x) for x in V.FILE_SUFFIXES)}, 'fr')")
 def suffix_join(spark, sf_dir):
-    dim = spark.createDataFrame([("png",), ("fr",)], "suffix string")
+    dim = spark.createDataFrame([(x,) for x in [*V.FILE_SUFFIXES, "fr"]], "suffix string")
     return E.suffix_matches(_emails(spark, sf_dir).select("cand_id", "email"), dim)
 
 
 def _category_sql() -> str:
-    low = _LOCAL
-    score = {k: " + ".join(f"CAST(contains({low}, '{w}') AS INT)" for w in v) for k, v in CATEGORIES.items()}
-    best = "greatest(" + ", ".join(f"s_{k}" for k in CATEGORIES) + ")"
-    pick = " ".join(f"WHEN s_{k} = best THEN '{k}'" for k in CATEGORIES)
-    return _EMAILS + ", s AS (SELECT cand_id, email, " + ", ".join(f"{v} AS s_{k}" for k, v in score.items()) + f" FROM e), b AS (SELECT *, {best} AS best FROM s), c AS (SELECT cand_id, email, CASE WHEN best = 0 THEN 'other' {pick} END AS category FROM b) "
+    return _EMAILS + f", c AS (SELECT cand_id, email, {O.category('email')} AS category FROM e) "
 
 
 @_query(_category_sql() + "SELECT cand_id, email, category FROM c")
@@ -308,6 +266,50 @@ def dom_verdicts(spark, sf_dir):
     return found.select("page_id", "email", "raw", F.array_join("extractors", ",").alias("extractors"), F.coalesce("reason", F.lit("accepted")).alias("verdict"))
 
 
+_FOUND = " UNION ALL ".join(
+    [f"SELECT page_id, '{k}' AS extractor, {v} AS raw FROM made" for k, vs in feeds.FOUND.items() for v in vs]
+    + [f"SELECT page_id, '{k}' AS extractor, unnest({O.raws(O.pattern_families('t'))}) AS raw FROM (SELECT page_id, {v} AS t FROM made)" for k, vs in feeds.SUITED.items() for v in vs]
+    + [f"SELECT page_id, '{k}' AS extractor, unnest({O.raws(f('t'))}) AS raw FROM (SELECT page_id, {O.normalized(feeds.PAGE_TEXT)} AS t FROM made)" for k, f in (("page text", O.pattern_families), ("detector", O.detector_families))]
+)
+_MADE = FEED + ", made AS (SELECT cand_id AS page_id, * FROM feed) "
+
+
+def _made(spark, sf_dir, html):
+    return feeds.made_pages(feeds.candidates(spark, sf_dir), html)
+
+
+@_query(_MADE + _FOUND)
+def page_extractors(spark, sf_dir):
+    return D.extract(D.parse_dom(_made(spark, sf_dir, feeds.HTML), every_text=False))
+
+
+_PAGE_JUDGED = _MADE + ", " + O.judged(_FOUND, f"SELECT page_id, {feeds.HTML} AS body FROM made", "page_id")
+
+
+@_query(_PAGE_JUDGED + " SELECT * FROM judged")
+def page_verdicts(spark, sf_dir):
+    found = pipeline.judge_pages(_made(spark, sf_dir, feeds.HTML))
+    return found.select("page_id", "email", "raw", F.array_join("extractors", ",").alias("extractors"), F.coalesce("reason", F.lit("accepted")).alias("verdict"))
+
+
+@_query(_PAGE_JUDGED + f" SELECT page_id, email, {O.category('email')} AS category FROM judged WHERE verdict = 'accepted'")
+def page_categories(spark, sf_dir):
+    return pipeline.extract(_made(spark, sf_dir, feeds.HTML)).select("page_id", "email", "category")
+
+
+@_query(_MADE + f"SELECT extractor, page_id, count(DISTINCT raw) AS n FROM ({_FOUND} UNION ALL SELECT page_id, 'source', {feeds._at('l18')} FROM made) GROUP BY ALL")
+def extractor_report(spark, sf_dir):
+    return pipeline.extractor_report(_made(spark, sf_dir, feeds.HTML))
+
+
+_RULED = " UNION ALL ".join(f"SELECT page_id, '{k}' AS rule, {v} AS url FROM made" for k, vs in feeds.RULED.items() for v in feeds.ruled(vs))
+
+
+@_query(_MADE + _RULED)
+def page_links(spark, sf_dir):
+    return L.link_rules(D.parse_dom(_made(spark, sf_dir, feeds.LINK_HTML), every_text=False)).select("page_id", "rule", "url")
+
+
 @_query()
 def dom_links(spark, sf_dir):
     return L.link_rules(D.parse_dom(_read(spark, sf_dir, "pages")), keywords=("the", "and", "contact"))
@@ -336,6 +338,26 @@ def contact_pages(spark, sf_dir):
     return pipeline.contact_pages(_read(spark, sf_dir, "pages"))
 
 
+def _best_sql(prefer: str) -> str:
+    absolute = "CASE WHEN starts_with(u, 'http') THEN u ELSE 'https://' || dom || CASE WHEN starts_with(u, '/') THEN '' ELSE '/' END || u END"
+    links = "[" + ", ".join(v for vs in feeds.RULED.values() for v in feeds.ruled(vs)) + "]"
+    return (
+        _MADE + f"SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY {prefer} CASE WHEN contains(lower(url), 'contact') THEN 0 ELSE 1 END, strlen(url), g) AS r FROM"
+        f" (SELECT page_id, {absolute} AS url, g FROM (SELECT page_id, dom, unnest({links}) AS u, 0 AS g FROM made UNION ALL SELECT page_id, dom, unnest({_GUESSES}) AS u, 1 AS g FROM made))"
+        f" WHERE NOT regexp_matches(url, '(?:{V.any_of(V.CONTACT_SUFFIXES)})$')) WHERE r = 1"
+    )
+
+
+@_query(_best_sql(""))
+def page_contacts(spark, sf_dir):
+    return pipeline.contact_pages(_made(spark, sf_dir, feeds.LINK_HTML))
+
+
+@_query(_best_sql("g,"))
+def page_contacts_by_link(spark, sf_dir):
+    return pipeline.contact_pages(_made(spark, sf_dir, feeds.LINK_HTML), prefer_links=True)
+
+
 _HOST = "lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
 
 
@@ -353,18 +375,22 @@ def homepages(spark, sf_dir):
     return pages_of_domains(domains, pages).select(F.col("domain").alias("host"), "page_id")
 
 
-_SITES = f"WITH s AS (SELECT {_HOST} AS domain, max(page_id) % 3 > 0 AS reached, max(len(regexp_extract_all(html, '@'))) AS n_emails FROM pages GROUP BY 1), o AS (SELECT *, CASE WHEN NOT reached THEN 'unresolved' WHEN n_emails > 0 THEN 'success' ELSE 'no email' END AS outcome FROM s) "
+_SITES = (
+    FEED + f", w AS (SELECT form, loc || '.' || dom AS domain, {feeds._at('a1')} AS a, {feeds._at('b2')} AS b FROM feed),"
+    " x AS (SELECT domain, a AS email FROM w WHERE form > 2 UNION ALL SELECT domain, b FROM w WHERE form > 2 AND form % 2 = 0),"
+    f" y AS (SELECT domain, count(*) FILTER ({O.reason()} = 'accepted') AS n FROM x GROUP BY domain),"
+    " o AS (SELECT w.domain, coalesce(n, 0) AS n_emails, CASE WHEN form = 0 THEN 'unresolved' WHEN coalesce(n, 0) > 0 THEN 'success' ELSE 'no email' END AS outcome FROM w LEFT JOIN y USING (domain)) "
+)
 
 
 def _sites(spark, sf_dir):
-    pages = _read(spark, sf_dir, "pages")
-    rows = pages.groupBy(host(F.col("url")).alias("domain")).agg((F.max("page_id") % 3 > 0).alias("reached"), F.max(F.regexp_count("html", F.lit("@"))).alias("n_emails"))
-    return M.outcomes(rows)
+    feed = feeds.candidates(spark, sf_dir)
+    return pipeline.run_sites(feed.select(F.concat_ws(".", "loc", "dom").alias("domain")), feeds.site_pages(feed))
 
 
-@_query(_SITES + "SELECT domain, outcome FROM o")
-def domain_outcomes(spark, sf_dir):
-    return _sites(spark, sf_dir).select("domain", "outcome")
+@_query(_SITES + "SELECT domain, outcome, n_emails FROM o")
+def run_sites(spark, sf_dir):
+    return _sites(spark, sf_dir).select("domain", "outcome", "n_emails")
 
 
 @_query(
@@ -381,21 +407,25 @@ def image_selection(spark, sf_dir):
     return M.select_images(feeds.images(spark, sf_dir)).select("page_id", "pos", "priority", "rn")
 
 
-@_query(FEED + r"SELECT cand_id, regexp_replace(regexp_replace(regexp_replace(loc || '@' || dom, 'rn([a-z])', 'm\1', 'g'), 'cl([a-z])', 'd\1', 'g'), 'vv([a-z])', 'w\1', 'g') AS email FROM feed WHERE loc NOT LIKE '%ooo%' AND loc NOT LIKE '%rrr%' AND loc NOT LIKE '%nnn%' AND form = 0")
-def ocr_spaced(spark, sf_dir):
-    feed = feeds.candidates(spark, sf_dir).filter("form = 0 AND loc NOT LIKE '%ooo%' AND loc NOT LIKE '%rrr%' AND loc NOT LIKE '%nnn%'")
-    text = F.concat(F.lit("see "), "loc", F.lit(" @ "), "seg", F.lit(" . "), "tld")
-    return feed.select("cand_id", F.explode(ocr_emails(text)).alias("email"))
+_OCR = "loc || '@' || dom"
+for _c in "uornaeid":
+    _OCR = f"regexp_replace({_OCR}, '{_c}{{3,}}', '{_c}', 'g')"
+for _old, _new in KNOWN:
+    _OCR = f"replace({_OCR}, '{_old}', '{_new}')"
+for _old, _new in MISREAD:
+    _OCR = f"regexp_replace({_OCR}, '{_old}', '{_new.replace('$', chr(92))}', 'g')"
 
 
-@_query("SELECT o_custkey, count(*) AS n_orders, count(DISTINCT o_orderpriority) AS n_priorities FROM orders GROUP BY o_custkey")
-def distinct_counts(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.count_distinct("o_orderpriority").alias("n_priorities"))
+@_query(FEED + f"SELECT cand_id, {_OCR} AS email FROM feed")
+def ocr_spaced(spark, sf_dir):
+    text = F.concat(F.lit("see "), "loc", F.lit(" @ "), "seg", F.lit(" . "), "tld")
+    return feeds.candidates(spark, sf_dir).select("cand_id", F.explode(ocr_emails(text)).alias("email"))
 
 
-@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def json_values(spark, sf_dir):
-    return _read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+@_query(_EMAILS + f"SELECT {_DOMAIN} AS domain, count(*) AS n, count(DISTINCT {_KEY}) AS n_emails FROM e GROUP BY 1")
+def domain_emails(spark, sf_dir):
+    rows = _emails(spark, sf_dir).select(C.domain_part(F.col("email")).alias("domain"), C.dedup_key(F.col("raw")).alias("key"))
+    return rows.groupBy("domain").agg(F.count("*").alias("n"), F.count_distinct("key").alias("n_emails"))
 
 
 @_query(FEED + "SELECT DISTINCT dom AS domain FROM feed WHERE strlen(dom) BETWEEN 1 AND 253 AND regexp_matches(dom, '^[a-z0-9.-]+$') AND contains(dom, '.')")

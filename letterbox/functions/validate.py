@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from letterbox.functions import patterns as P
-from letterbox.functions.clean import domain_part, local_part, one_at
+from letterbox.functions.clean import domain_part, let, local_part, one_at
 
 #: fixed values: file suffixes an address found in markup often ends in (a longer list is a setting)
 FILE_SUFFIXES = [
@@ -112,14 +112,19 @@ def in_example_context(email: Column, text: Column, reach: int = 100, near: int
 
     Offsets are bytes of the lower-cased text. An address that the text does not have is in no such context.
     """
-    low, key = F.encode(F.lower(text), "utf-8"), F.encode(F.lower(email), "utf-8")
-    at = F.position(key.cast("string"), low.cast("string"))
-    before = F.octet_length(F.substr(F.lower(text), F.lit(1), F.greatest(at - 1, F.lit(0))))
-    start = F.greatest(before - reach, F.lit(0))
-    window = F.substr(low, start + 1, before - start + F.octet_length(key) + reach).cast("string")
-    hits = F.transform(F.array(*[F.lit(w) for w in P.EXAMPLE_WORDS]), lambda w: F.position(w, window))
-    close = F.exists(hits, lambda h: (h > 0) & (F.abs(h - 1 - (before - start)) < near))
-    return F.when(at > 0, close).otherwise(F.lit(False))
+    def as_bytes(value: Column) -> Column:  # a character for each byte, so that places are places of bytes
+        return F.decode(F.encode(F.lower(value), "UTF-8"), "ISO-8859-1")
+
+    def near_word(x: Column) -> Column:
+        low, key, at = x["low"], x["key"], x["at"]
+        start = F.greatest(at - 1 - reach, F.lit(0))
+        window = F.substr(low, start + 1, at - 1 - start + F.length(key) + reach)
+        hits = let(window, lambda w: F.transform(F.array(*[F.lit(k) for k in P.EXAMPLE_WORDS]), lambda k: F.position(k, w)))
+        close = F.exists(hits, lambda h: (h > 0) & (F.abs(h - at + start) < near))
+        return (at > 0) & close
+
+    both = let(F.struct(as_bytes(text).alias("low"), as_bytes(email).alias("key")), lambda x: F.struct(x["low"].alias("low"), x["key"].alias("key"), F.position(x["key"], x["low"]).alias("at")))
+    return F.coalesce(let(both, near_word), F.lit(False))
 
 
 def valid_domain(domain: Column) -> Column:

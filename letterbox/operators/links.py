@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from letterbox.functions.clean import let
 from letterbox.functions.text import find_all, none
-from letterbox.functions.validate import bad_contact_url
+from letterbox.functions.validate import CONTACT_SUFFIXES, bad_contact_url
 from letterbox.operators.dom import Node
 
 #: words for "contact" in a dozen languages; a longer lexicon is a parameter (see sources.lexicons)
@@ -182,7 +182,7 @@ def best_contact(candidates: DataFrame, prefer_links: bool = False) -> DataFrame
     return candidates.groupBy("page_id").agg(best).select("page_id", "b.url", "b.pos", F.col("b.guess").alias("is_guess"))
 
 
-def best_url(base: Column, links: Column, prefer_links: bool = False, paths: Sequence[str] | None = None) -> Column:
+def best_url(base: Column, links: Column, prefer_links: bool = False, paths: Sequence[str] | None = None, suffixes: Sequence[str] = CONTACT_SUFFIXES) -> Column:
     """The URL that ``best_contact`` takes from ``links`` (array of (node_id, url)) and the guesses, within the row.
 
     Of guesses with one base only two can win: the shortest, and the shortest that says "contact".
@@ -191,6 +191,6 @@ def best_url(base: Column, links: Column, prefer_links: bool = False, paths: Seq
     guessed = {min(every), *([min(said)] if (said := [g for g in every if "contact" in g[2].lower()]) else [])} if every else set()
     own = F.transform(links, lambda u: F.struct(absolute(base, u["url"]).alias("url"), F.lit(False).alias("is_guess"), u["node_id"].alias("pos")))
     made = F.array(*[F.struct(absolute(base, F.lit(p)).alias("url"), F.lit(True).alias("is_guess"), F.lit(i).alias("pos")) for _, i, p in sorted(guessed)]) if guessed else F.slice(own, 1, 0)
-    good = F.filter(F.concat(own, made), lambda u: ~bad_contact_url(u["url"]))
+    good = F.filter(F.concat(own, made), lambda u: ~bad_contact_url(u["url"], suffixes))
     ranked = F.transform(good, lambda u: F.struct(*_rank(u["url"], u["is_guess"], u["pos"], prefer_links), u["url"].alias("url")))
     return F.when(base != "", F.array_min(ranked)["url"])

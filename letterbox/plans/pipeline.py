@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from letterbox.functions import patterns as P
 from letterbox.functions.clean import let
 from letterbox.functions.text import detector_suite, find_all, normalize_text, pattern_suite
-from letterbox.functions.validate import FILE_SUFFIXES
+from letterbox.functions.validate import CONTACT_SUFFIXES, FILE_SUFFIXES
 from letterbox.operators import dom as D
 from letterbox.operators import links as L
 from letterbox.operators.emails import categorized, disposable_lookup, first_per_key, in_context, mx_lookup, verdicts
@@ -28,6 +28,7 @@ class Dims:
     suffixes: tuple[str, ...] = tuple(FILE_SUFFIXES)
     keywords: tuple[str, ...] = L.KEYWORDS
     guesses: tuple[str, ...] | None = None
+    page_suffixes: tuple[str, ...] = tuple(CONTACT_SUFFIXES)
     unknown_mx_passes: bool = True
 
 
@@ -102,7 +103,7 @@ def extractor_report(pages: DataFrame, compat: bool = False) -> DataFrame:
 
 def _contact_url(dims: Dims, prefer_links: bool) -> Column:
     links = F.transform(L.found_links(dims.keywords), lambda x: F.struct(x["node_id"].alias("node_id"), x["url"].alias("url")))
-    return L.best_url(L.base_of(F.col("url")), links, prefer_links, dims.guesses)
+    return L.best_url(L.base_of(F.col("url")), links, prefer_links, dims.guesses, dims.page_suffixes)
 
 
 def contact_pages(pages: DataFrame, prefer_links: bool = False, dims: Dims = Dims()) -> DataFrame:

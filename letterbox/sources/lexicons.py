@@ -20,8 +20,12 @@ def keywords(spark: SparkSession, path: str, most: int = 10_000) -> list[str]:
 
 
 def categories(spark: SparkSession, path: str) -> DataFrame:
-    """category, patterns, ord of ``name|word|word`` lines; # comments and blanks skipped, the last of a name counts."""
-    rows = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).withColumn("value", F.trim("value"))
+    """category, patterns, ord of ``name|word|word`` lines; # comments and blanks skipped, the last of a name counts.
+
+    Files are in the order of their paths; lines in that of their place (one task reads a file that short).
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    rows = rows.withColumns({"ord": F.struct("file", "line"), "value": F.trim("value")})
     parts = F.transform(F.split("value", r"\|"), lambda x: F.lower(F.trim(x)))
     rows = rows.filter((F.col("value") != "") & ~F.startswith("value", F.lit("#"))).select(F.get(parts, F.lit(0)).alias("category"), F.filter(F.slice(parts, 2, 10_000), lambda x: x != "").alias("patterns"), "ord")
     return rows.groupBy("category").agg(F.max_by("patterns", "ord").alias("patterns"), F.max("ord").alias("ord"))

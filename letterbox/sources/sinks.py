@@ -22,3 +22,8 @@ def write_outcomes(sites: DataFrame, path: str) -> None:
 def compact(emails: DataFrame, path: str) -> None:
     """Rewrite an address table without repeats, under another path than it is read from."""
     emails.select(F.lower(F.trim("email")).alias("email")).distinct().write.mode("overwrite").parquet(path)
+
+
+def write_summary(emails: DataFrame, path: str) -> None:
+    """category (null: all), n of distinct addresses; replaces the one before. One row a category, whatever its size."""
+    emails.select("category", "email").distinct().rollup("category").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(path)

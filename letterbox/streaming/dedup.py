@@ -16,28 +16,37 @@ from letterbox.functions.validate import additional_failure, basic_syntax, well_
 
 
 def stream_emails(texts: DataFrame, text: str = "text", compat: bool = False) -> DataFrame:
-    """Every address once over the life of the stream; state is one key per address."""
+    """Every address once over the life of the stream.
+
+    State is one key per distinct address and is kept for ever, as "once" asks for; it lies in the state store
+    that the session names (RocksDB for more addresses than fit executors' memory).
+    """
     raw = texts.select(F.explode(pattern_suite(normalize_text(F.col(text)), compat)).alias("c")).select(F.col("c.raw").alias("raw"))
     email = raw.select(dedup_key(clean(F.col("raw"), compat)).alias("email"))
     good = email.filter(well_formed(F.col("email")) & basic_syntax(F.col("email")) & additional_failure(F.col("email")).isNull())
     return good.dropDuplicates(["email"])
 
 
-def merge_into(path: str):
+def merge_into(path: str, slices: int = 64):
     """A ``foreachBatch`` function: addresses of a batch that the table lacks are appended.
 
-    A batch that is run again finds its addresses there, so the table never repeats one.
+    The table is partitioned by a hash of the address, and a batch reads the slices it has addresses for. A batch
+    that is run again finds its addresses there, so the table never repeats one; one stream writes a table.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.select("email").distinct()
+        new = batch.select("email").distinct().withColumn("slice", F.pmod(F.xxhash64("email"), F.lit(slices)).cast("int")).persist()
+        met = [r.slice for r in new.select("slice").distinct().collect()]  # at most ``slices`` numbers
         try:
-            new = new.join(spark.read.parquet(path), "email", "left_anti")
+            known = spark.read.schema("email string, slice int").parquet(path).filter(F.col("slice").isin(met))
+            fresh = new.join(known, ["slice", "email"], "left_anti")
         except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            if "PATH_NOT_FOUND" not in str(error):
                 raise
-        new.write.mode("append").parquet(path)
+            fresh = new
+        fresh.write.mode("append").partitionBy("slice").parquet(path)
+        new.unpersist()
 
     return merge
 

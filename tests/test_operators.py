@@ -1,6 +1,8 @@
 """DOM extractors, link rules, joins, metrics, sources and streams."""
 
 import gzip
+import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +61,30 @@ def test_extractors(dom):
     assert not [x for x in found if x[2] == "Detailsteam@acme.org"]
 
 
+@pytest.mark.parametrize(
+    "html",
+    ['<a href="tel:info@acme">m</a>', '<i data-mail=""></i>', "<p>look at this dot</p>", '<b lang="x@acme.org">x</b>', "<meta content='no'>", '<script type="text/x">{"a":1}</script>',
+     "<!-- at acme -->", '<p style="display: block">x</p>', "<div><span>info</span>@<span></span></div>", "<div><b>a</b><b>@acme</b></div>", '<input type="text" id="q">', '<link rel="icon" href="y">'],
+)
+def test_extractors_leave_the_rest_alone(spark, html):
+    found = D.extract(D.parse_dom(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))).collect()
+    assert found == []
+
+
+def test_each_page_is_parsed_once(dom):
+    for df in (D.extract(dom), L.link_rules(dom)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") <= 1 and "Exchange" not in plan
+
+
+def test_deep_and_odd_pages():
+    nodes, _ = D.parse("<div>" * 3000 + "x" * 100 + "</div>" * 3000)
+    assert len(nodes) == 3000 and sum(len(n["text"]) for n in nodes) <= 100 * D.DEEPEST
+    nodes, _ = D.parse("<p>a<b>b<br>c</b></p>\0")
+    assert nodes[0]["lines"] == ["ab", "c"] and (nodes[0]["last"], nodes[1]["last"]) == (2, 2)
+    assert D.json_leaves('{"a@b.de": ["x", {"k": "y"}], "n": 1}') == ["x", "y"] and D.json_leaves("{") == [] and D.json_leaves("[" * 100000) == []
+
+
 def test_link_rules(dom):
     found = {(r.page_id, r.rule, r.url) for r in L.link_rules(dom).collect()}
     for i, (name, _, url) in enumerate(LINKS, len(HTML)):
@@ -71,11 +97,15 @@ def test_best_contact(spark):
     best = lambda **k: L.best_contact(L.contact_candidates(bases, rules), **k).first().url
     assert best() == "https://a.org/contact"
     assert best(prefer_links=True) == "https://a.org/our-contact"
+    urls = bases.withColumn("links", F.expr("array(named_struct('node_id', 5, 'url', '/kontakt'), named_struct('node_id', 7, 'url', '/our-contact'), named_struct('node_id', 8, 'url', '/contact.pdf'))"))
+    for prefer in (False, True):
+        assert urls.select(L.best_url(F.col("base"), F.col("links"), prefer)).first()[0] == best(prefer_links=prefer)
 
 
 def test_broken_html():
     nodes, _ = D.parse("<p>a<p>b<b>c<br><li>d<li>e</div></p")
     assert [n["tag"] for n in nodes] == ["p", "p", "b", "br", "li", "li"]
+    assert all(n["node_id"] <= n["last"] < len(nodes) for n in nodes)
     assert D.parse(None) == ([], [])
 
 
@@ -112,8 +142,84 @@ def test_sources(spark, tmp_path):
     assert tables.resolve_urls(refs).first().resolved == "https://a.org/z"
     (tmp_path / "c.json").write_text('{"pages": "p"}')
     assert config.load(str(tmp_path / "c.json"), output="o").output == "o"
-    with pytest.raises(ValueError):
-        config.load(str(tmp_path / "c.json"), files_a_batch=0)
+    for bad in ({"files_a_batch": 0}, {"output": ""}, {"ocr": True, "ocr_seconds": 0}, {"timeout": 301}, {"concurrency": 0}, {"min_delay_between_requests": 2, "max_delay_between_requests": 1}, {"colour": 1}, {"max_retries_per_domain": 11}):
+        with pytest.raises(ValueError):
+            config.load(str(tmp_path / "c.json"), **bad)
+    assert config.load(str(tmp_path / "c.json"), output="x/out.txt", timeout=20).output == "x"
+    assert config.output_folder("out.txt") == "output"
+
+
+def test_run_of_the_command_line(spark, tmp_path):
+    from letterbox import cli
+
+    html = '<p>sales@acme-corp.org</p><a href="/wegweiser">zum Formular</a>'
+    spark.createDataFrame([(1, "https://a.org/", html), (2, "https://a.org/wegweiser", "<p>bob@acme-corp.xyz9 eva@acme-corp.org</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    for name, text in {"words": "formular\n", "guess": "/none\n", "d": "a.org\n", "suffixes": "xyz\n", "c": "shop|sales\n"}.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    values = {"pages": "pages", "domains": "d.txt", "keywords": "words.txt", "guesses": "guess.txt", "suffixes": "suffixes.txt", "categories": "c.txt", "output": "out"}
+    (tmp_path / "run.json").write_text(json.dumps({k: str(tmp_path / v) for k, v in values.items()}))
+    conf = config.load(str(tmp_path / "run.json"))
+    report = cli.run(spark, conf).first()
+    assert (report.processed, report.success, report.emails) == (1, 1, 2)
+    out = spark.read.parquet(f"{conf.output}/categorized")
+    assert sorted((r.category, r.email) for r in out.collect()) == [("other", "eva@acme-corp.org"), ("shop", "sales@acme-corp.org")]
+    assert {r.category: r.n for r in spark.read.parquet(f"{conf.output}/summary").collect()} == {None: 2, "other": 1, "shop": 1}
+    assert [r.outcome for r in spark.read.parquet(f"{conf.output}/outcomes").collect()] == ["success"]
+
+
+def test_recogniser(spark, tmp_path):
+    from letterbox.sources import ocr
+
+    tool = tmp_path / "tool"
+    tool.write_text("#!/bin/sh\ncase \"$*\" in *-l*) echo 'no such lang' >&2; exit 1;; esac\ncat >/dev/null\necho 'Write to Info @ acme . org'\n")
+    tool.chmod(0o755)
+    images = spark.createDataFrame([("a.png", bytearray(b"\x89PNG\r\n\x1a\n1")), ("b.png", None)], "path string, content binary")
+    assert [(r.path, r.email) for r in ocr.image_emails(images, str(tool)).collect()] == [("a.png", "info@acme.org")]
+    assert ocr.find_recogniser("no-such-tool", ()) is None and ocr.find_recogniser("no-such-tool", (str(tool),)) == str(tool)
+    (tmp_path / "pics").mkdir()
+    for name, data in {"a": b"\x89PNG\r\n\x1a\n1", "b": b"\xff\xd8\xff1", "c": b"GIF89a", "d": b"\xff\xd8\xff" + b"0" * 99}.items():
+        (tmp_path / "pics" / name).write_bytes(data)
+    assert {r.path[-1] for r in tables.read_images(spark, str(tmp_path / "pics"), 50).collect()} == {"a", "b"}
+
+
+def test_progress(spark, tmp_path):
+    from letterbox.streaming import progress
+    from letterbox.streaming.dedup import mx_cache
+
+    rows, seen = progress.observed(spark.range(7), "count", even=F.count_if(F.col("id") % 2 == 0))
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 7, "even": 4}
+    answers = spark.createDataFrame([("a.org", True, 5), ("a.org", False, 9), ("b.org", True, 1)], "domain string, has_mx boolean, s int").select("domain", "has_mx", F.timestamp_seconds("s").alias("ts"))
+    answers.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(answers.schema).parquet(str(tmp_path / "in"))
+    told: list = []
+    listener = progress.Progress(told.append)
+    spark.streams.addListener(listener)
+    query = mx_cache(stream).writeStream.outputMode("update").format("memory").queryName("mx").option("checkpointLocation", str(tmp_path / "ck")).start()
+    until = time.time() + 60
+    while spark.table("mx").count() < 2 and time.time() < until:  # state that can time out runs batches for ever
+        time.sleep(0.2)
+    assert not progress.asked_to_stop(spark, str(tmp_path / "stop"))
+    (tmp_path / "stop").write_text("")
+    progress.run_until_asked(query, str(tmp_path / "stop"), 0.2)
+    assert not query.isActive
+    got = {r.domain: (r.has_mx, r.h) for r in spark.table("mx").select("domain", "has_mx", ((F.col("valid_until").cast("long")) / 3600).cast("int").alias("h")).collect()}
+    assert got == {"a.org": (False, 1), "b.org": (True, 24)}
+    spark.streams.removeListener(listener)
+
+
+def test_streamed_domains_and_other_sinks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.txt").write_text("a.org\nBAD\n b.org \n")
+    query = tables.stream_domains(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("domains").option("checkpointLocation", str(tmp_path / "ck")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.domain for r in spark.table("domains").collect()) == ["a.org", "b.org"]
+    emails = spark.createDataFrame([("A@b.org ", "x"), ("a@b.org", "x")], "email string, category string")
+    sinks.write_categorized(emails, str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 2
+    sinks.compact(emails, str(tmp_path / "k"))
+    assert [r.email for r in spark.read.parquet(str(tmp_path / "k")).collect()] == ["a@b.org"]
 
 
 def test_sinks_and_streams(spark, tmp_path):
