@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, vocabulary: str, room: int = 4096, end_id: int = 1)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode_column(batch.column(1)), strict=True):
                 ids = memoryview(ids + end)
                 for k in range(-(-len(ids) // (4 * room))):
                     own = ids[k * 4 * room : (k + 1) * 4 * room]

@@ -49,7 +49,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder:
             return pa.RecordBatch.from_pydict({"path": [path], "part": pa.array([part], pa.int64()), "shard": pa.array([number], pa.int64()), "n_docs": pa.array([len(held)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64())})
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode_column(batch.column(1)), strict=True):
                 held.append((doc, ids + end))
                 size += len(ids) // 4 + 1
                 if size >= shard:
