@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space; everything else belongs to a word
@@ -77,10 +79,38 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Whole texts can be long: let a Python worker hold few of them at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (which Spark holds to spark.sql.execution.arrow.maxBytesPerBatch) in parts of few rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def running_sums(df: DataFrame, by: list, sums: dict[str, str], name: str) -> DataFrame:
+    """``df`` with, for each new name in ``sums``, the sum of its column over all rows before, ordered by ``by``.
+
+    Range partitions (written once, so that they hold), their totals (a row each), and running sums inside them.
+    """
+    held = cut(df.repartitionByRange(partitions(df.sparkSession), *by).withColumn("_p", F.spark_partition_id()), name)
+    totals = held.groupBy("_p").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("_p").alias("_q"), *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    inside = Window.partitionBy("_p").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    out = held.withColumns({k: F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in sums.items()})
+    out = out.join(totals, F.col("_p") == F.col("_q"))
+    return out.withColumns({k: F.col(k) + F.col(f"_b_{k}") for k in sums}).select(*df.columns, *sums)
+
+
+def boxed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, so that names of an operator's own meet none of them."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row")
+
+
+def unboxed(columns: list[str], without: tuple[str, ...] = (), **instead: Column) -> list[Column]:
+    """The columns out of their box, less those named as in ``without`` and with those in ``instead`` replaced."""
+    gone = {c.lower() for c in without}
+    own = {k.lower(): v for k, v in instead.items()}
+    return [own.get(c.lower(), F.col("row").getField(c)).alias(c) for c in columns if c.lower() not in gone]
 
 
 def text_or_empty(column: str = "text"):

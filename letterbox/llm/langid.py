@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterbox.llm._common import small_batches
+from letterbox.llm._common import cut, slices
 
 DIMENSIONS = 4096
 #: labelled rows the classifier is fitted on: at most so many per language, and so many in all
@@ -142,29 +142,34 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
     """Learn from the labelled rows of ``docs`` that are not held out; None where there are none.
 
     The sample is the rows of each language with the least hashes of doc_id: up to ``per_language``, fewer
-    where more than ``in_all`` would come together. Only its identifiers are ranked, its texts joined after.
+    where more than ``in_all`` would come together (of more languages than that, the most frequent). Rows are
+    counted by language first, so that only hashes near the share that is needed are ranked at all. Only
+    identifiers are ranked, texts are joined after.
     """
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    langs = usable.select("lang").distinct().count()
-    if not langs:
+    usable = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & ~held_out())
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(in_all).collect()  # at most in_all rows
+    if not counts:
         return None
-    most = max(1, min(per_language, in_all // langs))
-    # ranked within 64 slices of a language first, so that one language meets in one task with few rows only
-    ids = usable.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string"), F.col("lang")).alias("h")).withColumn("slice", F.pmod("h", F.lit(64)))
-    for keys in (["lang", "slice"], ["lang"]):
-        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).filter(F.col("rank") <= most)
-    picked = ids
-    picked = picked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    most = max(1, min(per_language, in_all // len(counts)))
+    # unsigned hashes below twice the needed share: at least ``most`` texts, but for one case in far more than a million
+    shares = [(r["lang"], min(1.0, (2 * most + 100) / r["n"])) for r in counts]
+    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "_lang string, share double"))
+    h = F.xxhash64(F.col("doc_id").cast("string"), F.col("lang"))
+    with_text = usable.filter(F.col("text").isNotNull()).withColumn("h", h)
+    near = with_text.join(share, F.col("lang") == F.col("_lang")).filter(F.shiftrightunsigned("h", 11) < F.col("share") * 2.0**53)
+    near = cut(near.select("doc_id", "lang", "text", "h"), "sample")
+    ids = near.select("doc_id", "lang", F.shiftrightunsigned("h", 1).alias("h"))
+    ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("rank") <= most)
+    picked = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_own"))  # at most in_all rows
+    rows = near.select("doc_id", "lang", "text").join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_own")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [(lang, v.astype(np.float16).tobytes()) for lang, v in zip(batch.column(0).to_pylist(), map(features, batch.column(1).to_pylist()), strict=True) if v is not None]
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.binary())], ["lang", "vector"])
 
     got = sorted((r["lang"], bytes(r["vector"])) for r in rows.select("lang", "text").mapInArrow(run, "lang string, vector binary").collect())
-    # repeated rows of one identifier may bring more than was ranked
     if not got:
         return None
     x = np.array([np.frombuffer(v, np.float16) for _, v in got]).astype(np.float32)
@@ -174,12 +179,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, from the text alone.
 
+    Rows that repeat are judged alike, an empty table gives none, and other columns of ``docs`` are not read.
     Null texts, texts without a letter, and all texts where nothing could be learned are ``und`` at 0.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             vectors = [features(x) if x else None for x in batch.column(2).to_pylist()]
             rows = [k for k, v in enumerate(vectors) if v is not None]
             langs, scores = [UNKNOWN] * len(vectors), np.zeros(len(vectors))

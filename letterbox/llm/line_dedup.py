@@ -3,126 +3,168 @@
 The corpus is the sequence of its lines in order of document and line; a suffix starts at each line and ends
 with its document. Suffixes are sorted by prefix doubling: the rank of a suffix by its first 2h lines comes
 from the pair of ranks by h lines, its own and that h lines on. Only suffixes whose prefix also starts
-elsewhere are carried on; the others already have their place. A rank's bucket after h lines is the LCP
-interval of depth h: its members share h lines, and the members that part in the next round have a longest
-common prefix below 2h. Intervals of depth ``least`` show which runs of lines occur before; every line of a
-later copy is deleted. The first copy in the corpus stays.
+elsewhere are carried on; the others have their place. The suffixes of one rank are the LCP interval of depth
+h. An interval of any depth m between h and 2h is met by two overlapping ranks, at the start and m - h lines on.
+
+A run of lines is worth deleting from ``words`` words on. So each suffix asks for its interval at the least
+depth that has so many words (and, for the last lines of a run, the shortest run that ends with each line for
+its own): where the interval has an earlier member, the run is a later copy. Overlapping runs join to the
+maximal repeated runs, all lines of which go; the first copy in the corpus stays. Doubling ends with the deepest
+interval asked for.
 
 Sorting ranks distinct keys, never occurrences: a line that makes up a third of the corpus is one row there,
-and its occurrences get their rank by a join whose hot keys adaptive execution splits.
+and its occurrences get their rank by a join whose hot keys adaptive execution splits. Places are one number
+(document, then line), so that first and last copies are sums of the hash aggregate kind.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterbox.llm._common import cut, partitions, text_or_empty
+from letterbox.llm._common import WORD, boxed, cut, drop_cut, running_sums, text_or_empty, unboxed
+
+#: a run of repeated lines is deleted from so many words on
+WORDS = 50
+#: bits of a place that hold the line; documents have the others
+LINE_BITS = 27
+_DOC = ["has", "doc", "copy"]
+
 
-_POS = ["doc", "copy", "line"]
+def _identity() -> list[Column]:
+    """Documents are told apart and ordered by doc_id, null first, then by a hash of the text."""
+    return [F.col("doc_id").isNotNull().cast("int").alias("has"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text_or_empty()).alias("copy")]
 
 
-def _ranked(keys: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Distinct ``keys`` with n occurrences -> the same with ``name``: 1 + occurrences of all smaller keys.
+def _lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, numbers): place, a, b, w of every line of the distinct documents; and their numbers."""
+    known = docs.select(*_identity()).groupBy(*_DOC).agg(F.count("*").alias("n"))
+    numbers = cut(running_sums(known.withColumn("one", F.lit(1).cast("long")), _DOC, {"num": "one"}, "order").drop("one"), "numbers")
+    line = docs.select(*_identity(), F.posexplode(F.split(text_or_empty(), "\n")).alias("line", "text"))
+    # two hashes of 64 bits with different seeds name a line
+    line = line.select(*_DOC, "line", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("line"), "text").alias("b"), F.regexp_count("text", F.lit(WORD)).alias("w"))
+    if not numbers.filter("n > 1").isEmpty():  # rows that repeat a document
+        line = line.groupBy(*_DOC, "line").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("w").alias("w"))
+    place = (F.shiftleft("num", LINE_BITS) + F.col("line")).alias("place")
+    return line.join(numbers.select(*_DOC, "num"), _DOC).select(place, "a", "b", "w"), numbers
+
 
-    Range partitions, their totals (a row each), and running sums within them.
+def _document() -> Column:
+    return F.shiftright("place", LINE_BITS)
+
+
+def _windows(lines: DataFrame, words: int) -> DataFrame:
+    """place, len: from each line the shortest run of ``words`` words on, and the shortest that ends with each line.
+
+    Running sums of words before (x) and behind (y) each line, put in one order, show both by the places around.
     """
-    tagged = cut(keys.repartitionByRange(partitions(keys.sparkSession), *by).withColumn("_p", F.spark_partition_id()), "keys")
-    totals = tagged.groupBy("_p").agg(F.sum("n").alias("_n"))
-    totals = totals.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("_p").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return tagged.withColumn("_in", inside).join(totals, "_p").withColumn(name, F.col("_base") + F.col("_in") + 1).drop("_p", "_in", "_base")
+    own = Window.partitionBy(_document()).orderBy("place")
+    upto = F.sum("w").over(own.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
+    events = lines.withColumn("upto", upto).select(F.explode(F.array(F.struct((F.col("upto") - F.col("w") + words).alias("v"), F.lit(1).alias("x"), "place"), F.struct(F.col("upto").alias("v"), F.lit(0).alias("x"), "place"))).alias("e")).select("e.*")
+    down = Window.partitionBy(_document()).orderBy(F.desc("v"), "x").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(_document()).orderBy("v", F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.min(F.when(F.col("x") == 0, F.col("place"))).over(down)
+    begins = F.max(F.when(F.col("x") == 1, F.col("place"))).over(up)
+    found = events.withColumns({"end": ends, "begin": begins})
+    first, last = F.when(F.col("x") == 1, F.col("place")).otherwise(F.col("begin")), F.when(F.col("x") == 1, F.col("end")).otherwise(F.col("place"))
+    runs = found.select(first.alias("place"), (last - first + 1).cast("int").alias("len")).filter("place IS NOT NULL AND len IS NOT NULL")
+    return runs.distinct()
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    body = text_or_empty()
-    doc = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(body).alias("copy"), F.posexplode(F.split(body, "\n")).alias("line", "text"))
-    # two hashes of 64 bits with different seeds name a line
-    return doc.select(*_POS, F.xxhash64("text").alias("a"), F.xxhash64(F.lit("line"), "text").alias("b"))
+def _repeated(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct keys that stand at two places or more, with their number and first place."""
+    ends = [F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("final")]
+    return rows.groupBy(*by).agg(*ends).filter("first < final").drop("final")
 
 
-def suffix_intervals(docs: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(later, depths). ``later``: doc, copy, line where a run of ``least`` lines starts that also starts
-    earlier. ``depths``: doc, copy, line, depth, rank of every suffix whose first line repeats, with the
-    deepest doubling level at which it still shares an interval and its rank there.
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """place and rank of the rows whose key repeats: 1 + occurrences of all smaller repeated keys."""
+    keys = running_sums(_repeated(rows, by), by, {"smaller": "n"}, "keys")
+    return cut(rows.join(keys.select(*by, "smaller"), by).select("place", (F.col("smaller") + 1).alias("rank")), "suffixes")
+
+
+def _later(runs: DataFrame, ranks: DataFrame, depth: int) -> DataFrame:
+    """The ``runs`` (place, len; depth <= len < 2 depth) that are later members of their intervals."""
+    start = ranks.select("place", F.col("rank").alias("head"))
+    end = ranks.select((F.col("place")).alias("there"), F.col("rank").alias("tail"))
+    met = runs.join(start, "place").withColumn("there", F.col("place") + F.col("len") - depth).join(end, "there")
+    met = cut(met.select("place", "len", "head", "tail"), "intervals")
+    firsts = _repeated(met, ["head", "tail", "len"])
+    return met.join(firsts.select("head", "tail", "len", "first"), ["head", "tail", "len"]).filter("place > first").select("place", "len")
+
+
+def later_runs(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(runs, numbers). ``runs``: place and len of every run of lines that also starts earlier in the corpus.
+
+    ``numbers``: has, doc, copy, num of the documents; a place is num * 2**LINE_BITS + line.
     """
-    ends = [F.min(F.struct(*_POS)).alias("first"), F.max(F.struct(*_POS)).alias("last")]
-    lines = _lines(docs)
-    keys = lines.groupBy("a", "b").agg(F.count("*").alias("n"), *ends).filter("first < last")
-    ranked = _ranked(keys, ["a", "b"], "rank").select("a", "b", "rank", "first")
-    now = cut(lines.join(ranked, ["a", "b"]).select(*_POS, "rank", "first"), "suffixes")
-    depth, later, levels = 1, None, []
-    while True:
-        levels.append(now.select(*_POS, F.lit(depth).alias("depth"), "rank"))
-        if later is None and 2 * depth > least:
-            later = _at_depth(now, depth, least)
-        pairs = _ahead(now, depth).drop("first")
-        keys = pairs.groupBy("rank", "then").agg(F.count("*").alias("n"), *ends).filter("first < last")
-        ranked = _ranked(keys, ["rank", "then"], "new").select(F.col("rank").alias("_rank"), F.col("then").alias("_then"), F.col("new").alias("_new"), F.col("first"))
-        met = pairs.join(ranked, (F.col("rank") == F.col("_rank")) & (F.col("then") == F.col("_then")))
-        now = cut(met.select(*_POS, F.col("_new").alias("rank"), "first"), "suffixes")
-        if now.isEmpty():
+    lines, numbers = _lines(docs)
+    lines = cut(lines, "lines")
+    ranks = _ranked(lines.select("place", "a", "b"), ["a", "b"])
+    # a run can only repeat where its first and its last line do
+    runs = _windows(lines, words).join(ranks.select("place"), "place", "left_semi")
+    last = ranks.select((F.col("place")).alias("last"))
+    runs = cut(runs.withColumn("last", F.col("place") + F.col("len") - 1).join(last, "last", "left_semi").select("place", "len"), "runs")
+    drop_cut(lines)
+    deepest, depth, found = runs.agg(F.max("len")).first()[0] or 0, 1, []
+    while depth <= deepest:
+        found.append(cut(_later(runs.filter(F.col("len").between(depth, 2 * depth - 1)), ranks, depth), "later"))
+        if 2 * depth > deepest:
             break
+        here = Window.partitionBy(_document()).orderBy("place").rangeBetween(depth, depth)
+        pairs = cut(ranks.withColumn("then", F.max("rank").over(here)).filter(F.col("then").isNotNull()), "pairs")
+        before, ranks = ranks, _ranked(pairs, ["rank", "then"])
+        drop_cut(before)
+        drop_cut(pairs)
         depth *= 2
-    if later is None:  # no run of that many lines repeats
-        later = now.select(*_POS)
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.union(level)
-    deepest = every.groupBy(*_POS).agg(F.max(F.struct("depth", "rank")).alias("d"))
-    return later, deepest.select(*_POS, "d.depth", "d.rank")
-
-
-def _ahead(now: DataFrame, by: int) -> DataFrame:
-    """``then``: the rank of the suffix ``by`` lines on, where that one shares an interval too."""
-    there = Window.partitionBy("doc", "copy").orderBy("line").rangeBetween(by, by)
-    return now.withColumn("then", F.max("rank").over(there)).filter(F.col("then").isNotNull())
-
-
-def _at_depth(now: DataFrame, depth: int, least: int) -> DataFrame:
-    """Later copies in the intervals of depth ``least``, from ranks by ``depth`` <= least < 2 * depth lines."""
-    if depth == least:
-        return now.filter(F.col("first") < F.struct(*_POS)).select(*_POS)
-    pairs = _ahead(now, least - depth).drop("first")
-    first = pairs.groupBy("rank", "then").agg(F.min(F.struct(*_POS)).alias("first"))
-    first = first.select(F.col("rank").alias("_rank"), F.col("then").alias("_then"), "first")
-    met = pairs.join(first, (F.col("rank") == F.col("_rank")) & (F.col("then") == F.col("_then")))
-    return met.filter(F.col("first") < F.struct(*_POS)).select(*_POS)
-
-
-def line_dedup(docs: DataFrame, least: int = 2) -> DataFrame:
-    """``docs`` with text less its repeated runs of ``least`` lines or more, n_lines, n_removed, depth.
-
-    ``depth``: the greatest power of two of lines that some place of the document shares with another place
-    (0: no line of it repeats). Lines are compared exactly, blank ones too. Null texts are one empty line
-    and stay null. Documents are ordered by doc_id, null first, then by a hash of the text; rows that repeat
-    both are one document to this operator and are treated alike.
+    drop_cut(ranks)
+    out = runs.limit(0)
+    for some in found:
+        out = out.union(some)
+    return out, numbers
+
+
+def line_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``docs`` with text less its repeated runs of lines of ``words`` words or more, n_lines, n_removed, longest_run.
+
+    ``n_removed`` counts the lines that went, ``longest_run`` those of the longest run of them. Lines are compared
+    exactly, blank ones too. Null texts are one empty line and stay null. Rows that repeat doc_id and text are one
+    document to this operator and are treated alike; an empty table gives an empty result. Columns of ``docs``
+    named n_lines, n_removed or longest_run are replaced, all others stay as they are.
     """
-    docs = docs.drop("n_lines", "n_removed", "depth")
-    later, deepest = suffix_intervals(docs, least)
-    spans = later.select("doc", "copy", F.explode(F.sequence(F.col("line"), F.col("line") + (least - 1))).alias("line"))
-    gone = spans.groupBy("doc", "copy").agg(F.collect_set("line").alias("_gone"))
-    depth = deepest.groupBy("doc", "copy").agg(F.max("depth").alias("_depth"))
-    marks = depth.join(gone, depth["doc"].eqNullSafe(gone["doc"]) & (depth["copy"] == gone["copy"]), "left").select(depth["doc"].alias("_doc"), depth["copy"].alias("_same"), "_depth", "_gone")
-    marks = cut(marks, "marks")
-    rows = docs.withColumn("_copy", F.xxhash64(text_or_empty()))
-    out = rows.join(marks, rows["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.col("_copy") == F.col("_same")), "left")
-    out = out.withColumn("_l", F.split(text_or_empty(), "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_l", i)), "\n"))
-    own = {"n_lines": F.size("_l").cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "depth": F.coalesce("_depth", F.lit(0))}
-    kept = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*kept, *[v.alias(k) for k, v in own.items()])
-
-
-LINES_SQL = """
+    runs, numbers = later_runs(docs, words)
+    gone = runs.select(_document().alias("num"), F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("k"), F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("line"))
+    gone = gone.groupBy("num").agg(F.sort_array(F.collect_set(F.col("line") + F.col("k"))).alias("gone"))
+    marks = cut(numbers.join(gone, "num").select(*_DOC, "gone"), "marks")
+    out = docs.select(boxed(docs), text_or_empty().alias("body"), *_identity()).join(marks, _DOC, "left")
+    lines = F.split("body", "\n")
+    stay = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
+    # runs of consecutive numbers: the difference to their rank is constant
+    run = F.aggregate("gone", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most")), lambda s, i: _grown(s, i), lambda s: s["most"])
+    text = F.when(F.col("gone").isNull(), F.col("row").getField("text")).otherwise(F.array_join(stay, "\n"))
+    own = {"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "longest_run": F.coalesce(run, F.lit(0)).cast("long")}
+    return out.select(*unboxed(docs.columns, tuple(own), text=text), *[v.alias(k) for k, v in own.items()])
+
+
+def _grown(state: Column, line: Column) -> Column:
+    n = F.when(line == state["last"] + 1, state["n"] + 1).otherwise(1)
+    return F.struct(line.alias("last"), n.alias("n"), F.greatest(state["most"], n).alias("most"))
+
+
+LINES_SQL = rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
-w AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM l),
-f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, i) AS r FROM w WHERE nxt IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM f WHERE r > 1 UNION ALL SELECT doc_id, i + 1 FROM f WHERE r > 1)),
+n AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '{WORD}')) AS w FROM l),
+c AS (SELECT doc_id, i, w, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM n),
+y AS (SELECT doc_id, upto AS v, min(i) AS i FROM c GROUP BY doc_id, upto),
+x AS (SELECT doc_id, upto - w AS v, max(i) AS i FROM c GROUP BY doc_id, upto - w),
+r AS (SELECT c.doc_id, c.i AS a, y.i AS b FROM c ASOF JOIN y ON c.doc_id = y.doc_id AND c.upto - c.w + {WORDS} <= y.v
+      UNION SELECT c.doc_id, x.i AS a, c.i AS b FROM c ASOF JOIN x ON c.doc_id = x.doc_id AND c.upto - {WORDS} >= x.v),
+t AS (SELECT r.doc_id, a, b, row_number() OVER (PARTITION BY array_to_string(ls[a:b], chr(10)) ORDER BY r.doc_id, a) AS k FROM r JOIN d ON r.doc_id = d.doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM t WHERE k > 1),
+s AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM g) GROUP BY doc_id, p) GROUP BY doc_id),
 o AS (SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
-       sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '')) AS text_sha256
-FROM o GROUP BY doc_id
+SELECT o.doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, CAST(coalesce(max(longest), 0) AS BIGINT) AS longest_run,
+       sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY o.i), '')) AS text_sha256
+FROM o LEFT JOIN s ON o.doc_id = s.doc_id GROUP BY o.doc_id
 """

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterbox.llm._common import cut, drop_cut, partitions
+from letterbox.llm._common import boxed, cut, drop_cut, partitions, running_sums, unboxed
 
 #: fractions of copies are counted in units of 2**-30, words in Newton's sums in units of 2**-8
 _UNIT, _WORD = 1 << 30, 256
@@ -33,34 +33,28 @@ def source_targets(base: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     """source, source_size, docs, target: shares by cyclic weights in code-point order, null last.
 
     A target stops at ``most`` times its source's size and the excess is shared out again by weight until no
-    target is above; every round is one distributed sum.
+    target is above. The end of that resharing is one level for all sources below their tops, found by sums.
     """
     found = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    # ranks of all sources: range partitions, then places within them (sources are far fewer than documents)
-    found = found.withColumn("_last", F.col("source").isNull().cast("int")).repartitionByRange(partitions(base.sparkSession), "_last", "source")
-    found = cut(found.withColumn("_part", F.spark_partition_id()), "sources")
-    parts = found.groupBy("_part").agg(F.count("*").alias("n"))
-    parts = parts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_last", "source")) - 1
+    # places of all sources in order (sources are far fewer than documents)
+    found = found.withColumns({"last": F.col("source").isNull().cast("int"), "one": F.lit(1).cast("long")})
+    found = running_sums(found, ["last", "source"], {"place": "one"}, "sources")
     cycle = F.array(*[F.lit(w) for w in weights])
-    found = found.withColumn("_in", inside).join(parts, "_part")
-    found = cut(found.select("source", "source_size", "docs", F.get(cycle, ((F.col("_base") + F.col("_in")) % len(weights)).cast("int")).alias("weight")), "sources")
-    top = most * F.col("source_size")
-    total = found.agg(F.sum("source_size")).first()[0] or 0
-    level = None
-    while True:
-        full = F.lit(False) if level is None else F.col("weight") * level >= top
-        row = found.agg(F.coalesce(F.sum(F.when(full, top)), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)), F.count_if(full)).first()
-        if not row[1]:
-            break
-        now = (total - row[0]) / row[1]
-        if level is not None and row[2] == before:
-            break
-        level, before = now, row[2]
-    target = top.cast("double") if level is None else F.least(F.col("weight") * F.lit(float(level)), top.cast("double"))
+    found = found.withColumn("weight", F.get(cycle, (F.col("place") % len(weights)).cast("int")).cast("long")).withColumn("top", most * F.col("source_size"))
+    total, weighed = cut_totals(found)
+    # sources reach their tops in order of top / weight: the level that the others get follows from sums over those before
+    found = running_sums(found.withColumn("at", F.col("top") / F.col("weight")), ["at", "place"], {"tops": "top", "heavy": "weight"}, "levels")
+    level = (F.lit(total) - F.col("tops")) / (F.lit(weighed) - F.col("heavy"))
+    level = found.filter(F.col("at") >= level).agg(F.max(level)).first()[0]  # the first that stays below its top sets it
+    target = F.col("top").cast("double") if level is None else F.least(F.col("weight") * F.lit(float(level)), F.col("top").cast("double"))
     return cut(found.select("source", "source_size", "docs", target.alias("target")), "targets")
 
 
+def cut_totals(found: DataFrame) -> tuple[int, int]:
+    row = found.agg(F.sum("source_size"), F.sum("weight")).first()
+    return row[0] or 0, row[1] or 0
+
+
 def multipliers(base: DataFrame, targets: DataFrame, most: int = 3, near: float = 1e-7) -> DataFrame:
     """source, lam, saturated: the dual optimum for each source (saturated: every document ``most`` times)."""
     cells = cut(base.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
@@ -94,6 +88,9 @@ def multipliers(base: DataFrame, targets: DataFrame, most: int = 3, near: float
         new = new.select("source", "target", "scale", "saturated", F.when(moved & ~fit & ~tight, step).otherwise(F.col("lam")).alias("lam"), F.when(moved, lo).otherwise(F.col("lo")).alias("lo"), F.when(moved, hi).otherwise(F.col("hi")).alias("hi"), done.alias("done"))
         before, state = state, cut(new, "dual")
         drop_cut(before)
+    else:
+        if not state.filter(~F.col("done") & ~F.col("saturated")).isEmpty():
+            raise RuntimeError(f"multipliers have not settled after {_STEPS} steps")
     return state.select("source", "scale", "lam", "saturated")
 
 
@@ -146,21 +143,34 @@ def _repair(rows: DataFrame, most: int) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """``docs`` with each row as often as its copies; rows with none go. Columns stay as they are.
+    """``docs`` with each row as often as its copies; rows with none go. Columns stay as they are, whatever their names.
 
-    Rows that repeat doc_id, source and size share the sum of their copies evenly.
+    Rows that repeat doc_id, source and size share the sum of their copies evenly: they are numbered once, for
+    good, and dealt to in that order.
     """
     taken = mix(docs, weights, most).filter("copies > 0")
-    each = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"))
-    each = cut(each.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies"), "copies")
+    keys = ["doc", "none", "src", "size"]
+
+    def keyed(doc: str, size) -> list:
+        return [F.col(doc).cast("long").alias("doc"), F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"), size.alias("size")]
+
+    each = cut(taken.select(*keyed("doc_id", F.col("size")), "copies").groupBy(*keys).agg(F.sum("copies").alias("copies")), "copies")
     words = F.size(F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), _BLANK), "")).cast("long")
-    rows = docs.withColumn("_words", words)
-    repeated = rows.groupBy("doc_id", "source", "_words").count().filter("count > 1")
-    met = rows["doc_id"].cast("long").eqNullSafe(each["_id"]) & rows["source"].cast("string").eqNullSafe(each["_source"]) & (rows["_words"] == each["_size"])
-    out = rows.join(each, met)
-    if not repeated.isEmpty():  # the copies of repeated rows are dealt to them in turn
-        own = Window.partitionBy("doc_id", "source", "_words")
-        rank, n = F.row_number().over(own.orderBy(F.lit(0))), F.count("*").over(own)
-        out = out.withColumns({"_rank": rank, "_n": n})
-        out = out.withColumn("_copies", (F.floor(F.col("_copies") / F.col("_n")) + (F.col("_rank") <= F.col("_copies") % F.col("_n")).cast("int")).cast("long")).filter("_copies > 0")
-    return out.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(boxed(docs), *keyed("doc_id", words))
+
+    def met(left: DataFrame, right: DataFrame):
+        return left["doc"].eqNullSafe(right["doc"]) & (left["none"] == right["none"]) & (left["src"] == right["src"]) & (left["size"] == right["size"])
+
+    if rows.groupBy(*keys).count().filter("count > 1").isEmpty():
+        out = rows.join(each, met(rows, each)).select("row", "copies")
+    else:
+        rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()), "rows")
+        again = rows.groupBy(*keys).agg(F.count("*").alias("rows")).filter("rows > 1")
+        tied = rows.join(again, met(rows, again), "left_semi").select("uid", *keys)
+        places = running_sums(tied.withColumn("one", F.lit(1).cast("long")), [*keys, "uid"], {"at": "one"}, "ties")
+        firsts = places.groupBy(*keys).agg(F.min("at").alias("first"), F.count("*").alias("rows"))
+        places = places.join(firsts, met(places, firsts)).select(F.col("uid").alias("tie"), (F.col("at") - F.col("first")).alias("rank"), "rows")
+        out = rows.join(each, met(rows, each)).select("row", "uid", "copies").join(places, F.col("uid") == F.col("tie"), "left")
+        share = F.floor(F.col("copies") / F.col("rows")) + (F.col("rank") < F.col("copies") % F.col("rows")).cast("int")
+        out = out.withColumn("copies", F.coalesce(share.cast("long"), F.col("copies"))).filter("copies > 0")
+    return out.withColumn("each", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*unboxed(docs.columns))

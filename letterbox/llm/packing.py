@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterbox.llm._common import cut, small_batches
+from letterbox.llm._common import cut, slices
 from letterbox.llm._tokens import encoder
 
 
@@ -60,33 +60,34 @@ def plan(counts: dict[int, int], room: int) -> list[tuple[int, int, int, int, in
 
 
 def pieces(docs: DataFrame, vocabulary: str, room: int = 4096, end_id: int = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, and part / local: its rank among its task's of that length."""
-    small_batches(docs.sparkSession)
+    """doc_id, piece, start, length, ids_crc32, row_id, and part / local: its rank among its task's of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), {}
+        words, part, seen, row = encoder(vocabulary), TaskContext.get().partitionId(), {}, -1
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode_column(batch.column(1)), strict=True):
-                ids = memoryview(ids + end)
+                ids, row = memoryview(ids + end), row + 1
                 for k in range(-(-len(ids) // (4 * room))):
                     own = ids[k * 4 * room : (k + 1) * 4 * room]
                     n = len(own) // 4
                     seen[n] = seen.get(n, -1) + 1
-                    out.append((doc, k, k * room, n, zlib.crc32(own), part, seen[n]))
-            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local"])
+                    out.append((doc, k, k * room, n, zlib.crc32(own), part << 33 | row, part, seen[n]))
+            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 8, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "row_id", "part", "local"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, local long")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, row_id long, part long, local long")
 
 
 def best_fit_pack(docs: DataFrame, vocabulary: str, room: int = 4096, end_id: int = 1) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, row_id.
 
-    A null text is the empty one (the end id alone). Repeated rows are packed as often as they occur. The
-    pieces are written to the shared folder once, so ranks hold when tasks are repeated.
+    A null text is the empty one (the end id alone). Repeated rows are packed as often as they occur; ``row_id``
+    tells the pieces of one from those of another. An empty table gives none; other columns of ``docs`` are not
+    read. The pieces are written to the shared folder once, so ranks hold when tasks are repeated. Ids are those of
+    the tokenizers library, through the piece cache of ``_tokens``.
     """
     cuts = cut(pieces(docs, vocabulary, room, end_id), "pieces")
     by_part = cut(cuts.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
@@ -108,6 +109,6 @@ def best_fit_pack(docs: DataFrame, vocabulary: str, room: int = 4096, end_id: in
             at = np.searchsorted(keys, length * big + np.minimum(rank, big - 1), side="right") - 1
             idx = rank - ranks[at]
             seq, off = firsts[at] + idx // eachs[at], offsets[at] + idx % eachs[at] * length
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(off)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(off), batch.column("row_id")], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row_id"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "row_id").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, row_id long")

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterbox.llm._common import cut, new_path, partitions, small_batches
+from letterbox.llm._common import cut, new_path, partitions, slices
 from letterbox.llm._files import read_file, write_file
 from letterbox.llm._tokens import encoder
 from letterbox.llm._wavelet import WaveletMatrix
@@ -26,10 +26,11 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder:
     Rows are range-partitioned and sorted by doc_id (null first; rows that repeat a doc_id stay together).
     A null text is empty, so each document has at least ``end_id``. A shard file holds its ids as a wavelet
     matrix beside doc ids and lengths; ``start`` counts the ids of all shards before it. The table is written
-    to the shared folder before it is returned, so the files of attempts that failed are never read.
+    to the shared folder before it is returned, so the files of attempts that failed are never read. An empty table
+    gives no shard; other columns of ``docs`` are not read. Ids are those of the tokenizers library, through the
+    piece cache of ``_tokens``.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or new_path(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +49,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder:
             path = write_file(folder, f"{part:06d}-{number:06d}.lbxwm", WaveletMatrix.build(ids).to_bytes(arrays))
             return pa.RecordBatch.from_pydict({"path": [path], "part": pa.array([part], pa.int64()), "shard": pa.array([number], pa.int64()), "n_docs": pa.array([len(held)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64())})
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode_column(batch.column(1)), strict=True):
                 held.append((doc, ids + end))
                 size += len(ids) // 4 + 1
@@ -74,7 +75,7 @@ def read_token_files(shards: DataFrame) -> DataFrame:
     """One row per document of the shard table: doc_id, start, n_tokens, ids_crc32, all from the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 matrix, arrays = WaveletMatrix.from_bytes(read_file(path))
                 ids = memoryview(matrix.decode().tobytes())

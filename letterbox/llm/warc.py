@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterbox.llm._common import cut, new_path, partitions, small_batches
+from letterbox.llm._common import cut, new_path, partitions, slices
 from letterbox.llm._files import read_file, write_file
 
 #: the skippable frame that holds a dictionary, and the magic of a Zstandard frame
@@ -45,15 +45,23 @@ def _line(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, name: str) -> bytes:
-    """One WARC/1.1 record. A revisit keeps the HTTP header, and so the length, but not the payload."""
+def _urn(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, name: str, least: int = LEAST) -> bytes:
+    """One WARC/1.1 record. A revisit keeps the HTTP header, and so the length, but not the payload.
+
+    The one response of a payload that is stored once is named after it, so that revisits can refer to it.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
     sha1 = hashlib.sha1(payload).digest()
+    stored = f"payload:{sha1.hex()}:{len(payload)}"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
+        f"WARC-Record-ID: {_urn(stored if kind == 'response' and len(payload) >= least else name)}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Target-URI: {_line(url) if url else 'urn:x-unknown'}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}",
@@ -63,6 +71,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
     if page_id is not None:
         head.append(f"WARC-X-Page-ID: {page_id}")
     if kind == "revisit":
+        head.append(f"WARC-Refers-To: {_urn(stored)}")
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         if refers_to is not None:
             head.append(f"WARC-X-Refers-To-Page-ID: {refers_to}")
@@ -138,7 +147,7 @@ def deduplicate(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, html (null: empty), record_type, refers_to.
 
     Of equal payloads of at least ``least`` bytes the largest page_id is the response (null below all; of
-    repeated rows, one). Payloads are equal when SHA-256 and length agree.
+    repeated rows, one). Payloads are equal when SHA-256 and length agree. Other columns are not read.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"))
@@ -157,7 +166,6 @@ def deduplicate(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def write_archives(records: DataFrame, folder: str | None = None) -> DataFrame:
     """Write what ``deduplicate`` gives; returns the table of files (path, n), itself in the shared folder."""
     spark = records.sparkSession
-    small_batches(spark)
     folder = folder or new_path(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +177,7 @@ def write_archives(records: DataFrame, folder: str | None = None) -> DataFrame:
             path = write_file(folder, f"{part:06d}-{number:06d}.warc.zst", data)
             return pa.RecordBatch.from_pydict({"path": [path], "n": pa.array([len(held)], pa.int64())})
 
-        for batch in batches:
+        for batch in slices(batches):
             for page, url, html, kind, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append((page, url, html.encode(), kind, refers))
                 size += len(held[-1][2])
@@ -183,27 +191,48 @@ def write_archives(records: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def read_archives(files: DataFrame) -> DataFrame:
-    """Every record of the archives in column path: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
+    """Every record of the archives in column path: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload, error.
+
+    A record that does not hold, or the rest of an archive that cannot be decoded, is a row of record_type
+    ``damaged`` with an error and nothing else; other records of the archive are read on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())]
+        kinds = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("error", pa.string())]
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
 
+        def damaged(error: Exception) -> tuple:
+            return (None, None, None, "damaged", None, None, None, str(error))
+
+        def row(raw: bytes) -> tuple:
+            try:
+                x = parse(raw)
+                f = x["fields"]
+                page, refers = (int(f[k]) if k in f else None for k in ("warc-x-page-id", "warc-x-refers-to-page-id"))
+            except (ValueError, KeyError) as error:
+                return damaged(error)
+            return (page, x["payload_bytes"], x["payload_digest"], f["warc-type"], refers, f.get("warc-target-uri"), x["payload"], None)
+
+        def rows_of(path: str) -> Iterator[tuple]:
+            try:
+                for raw in unpack(read_file(path)):
+                    yield row(raw)
+            except (ValueError, zstandard.ZstdError) as error:
+                yield damaged(error)
+
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                rows = []
-                for raw in unpack(read_file(path)):
-                    x = parse(raw)
-                    f = x["fields"]
-                    page, refers = (int(f[k]) if k in f else None for k in ("warc-x-page-id", "warc-x-refers-to-page-id"))
-                    rows.append((page, x["payload_bytes"], x["payload_digest"], f["warc-type"], refers, f.get("warc-target-uri"), x["payload"]))
-                    if len(rows) >= 1000:
+                rows, size = [], 0
+                for one in rows_of(path):
+                    rows.append(one)
+                    size += len(one[6] or b"")
+                    if len(rows) >= 1000 or size >= 1 << 24:
                         yield table(rows)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield table(rows)
 
     paths = files.select("path").repartition(partitions(files.sparkSession))
-    return paths.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    return paths.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, error string")

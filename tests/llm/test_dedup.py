@@ -1,21 +1,27 @@
 """Exact, near and line dedup against brute force."""
 
 import hashlib
+import itertools
+import random
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pytest
 import xxhash
 
+from letterbox.llm import exact_dedup as X
 from letterbox.llm.components import components
 from letterbox.llm.exact_dedup import exact_dedup
 from letterbox.llm.line_dedup import line_dedup
 from letterbox.llm.shingle_dedup import shingle_dedup
-from letterbox.llm.simhash_dedup import ball, segments, simhash_dedup, simhash_groups
+from letterbox.llm.simhash_dedup import ball, links, segments, simhash_dedup, simhash_groups
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
-EDGE = [(1, "a b c\nd\ne"), (1, "a b c\nd\ne"), (2, None), (3, ""), (None, "z"), (None, "z"), (4, "q"), (None, "q"), (5, "w " * 30000), (6, "w " * 30000), (7, "a b c\nd\nf")]
+LONG = " ".join(f"w{i}" for i in range(60))
+HALF = " ".join(f"v{i}" for i in range(26))
+EDGE = [(1, "a b c\nd\ne"), (1, "a b c\nd\ne"), (20, f"x\n{LONG}\ny"), (21, f"{LONG}\nz"), (22, f"{HALF}\n{HALF} b\n\nc"), (23, f"q\n{HALF}\n{HALF} b\n\nd"), (None, f"{HALF} b\n\nc"), (24, "l\n" * 3000 + LONG), (2, None), (3, ""), (None, "z"), (None, "z"), (4, "q"), (None, "q"), (5, "w " * 30000), (6, "w " * 30000), (7, "a b c\nd\nf")]
 
 
 @pytest.fixture(scope="module", params=["table", "edge", "empty"])
@@ -84,9 +90,42 @@ def test_simhash(docs):
     assert {r.doc_id for r in stay.collect()} == {c for _, _, c in want}
 
 
+def test_runs_are_merged_as_they_are():
+    rng = np.random.default_rng(5)
+    made = [(bytes(rng.integers(0, 3, 32, dtype=np.uint8)) if k % 7 else bytes(32), k % 2, 0, 1, k, 1, 1) for k in range(4000)]
+    runs = [np.array(sorted(made[k::4]), X._ENTRY) for k in range(4)]
+    X._CHUNK, held = 50, X._CHUNK
+    out = np.concatenate(list(X.merge_runs([[r[:100], r[100:]] for r in runs], "max")))
+    X._CHUNK = held
+    want = defaultdict(list)
+    for d, size, _, _, k, _, _ in made:
+        want[d.rstrip(b"\0"), size].append(k)
+    assert {(bytes(e["digest"]), e["size"]): (e["id"], e["n"]) for e in out} == {k: (max(v), len(v)) for k, v in want.items()}
+    assert len(out) == len(want)
+
+
+def test_exact_keeps_one_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "a", 1)] * 500 + [(7, "b", 2)] * 300 + [(6, "b", 3)], "doc_id long, text string, n int").repartition(5)
+    got = exact_dedup(docs).groupBy("text").agg({"kept": "max", "doc_id": "max"})
+    assert exact_dedup(docs).filter("kept").count() == got.count() == 2
+    assert {(r.text, r.doc_id) for r in exact_dedup(docs).filter("kept").collect()} == {("a", None), ("b", 7)}
+
+
+@pytest.mark.parametrize(("entries", "hot"), [(0, 1024), (10**10, 1024), (0, 3)])
+def test_links_by_every_cut(spark, entries, hot):
+    rng = random.Random(4)
+    seeds = [rng.getrandbits(64) for _ in range(20)]
+    fps = {x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for x in seeds for _ in range(12)}
+    want = {(a, b) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 4}
+    signed = spark.createDataFrame([(x - (1 << 64) * (x >> 63),) for x in fps], "fp long")
+    got = {(r.a % 2**64, r.b % 2**64) for r in links(signed, 4, entries, hot).collect()}
+    assert got | {(b, a) for a, b in got} == want
+
+
 def test_segments_find_every_pair():
-    for bits in (1, 2, 3, 4, 6):
-        cuts = segments(bits)
+    assert [w for _, w, _ in segments(4)] == [13, 13, 13, 13, 12] and [w for _, w, _ in segments(4, 10**6)] == [22, 21, 21] and [w for _, w, _ in segments(4, 10**9)] == [32, 32]
+    for bits, n in ((1, 0), (2, 10**9), (3, 10**5), (4, 10**6), (4, 10**9), (6, 10**7)):
+        cuts = segments(bits, n)
         assert sum(w for _, w, _ in cuts) == 64 and sum(r + 1 for _, _, r in cuts) == bits + 1
     assert len(ball(22, 1)) == 23 and len(set(ball(5, 2))) == 16
 
@@ -142,22 +181,33 @@ def test_near_stage_finds_copies_at_four_fifths(spark):
     assert {(r.doc_id, r.text) for r in P.near(spark, docs, "").collect()} == first_of_components(list(enumerate(texts)))
 
 
-@pytest.mark.parametrize("least", [1, 2, 3])
-def test_lines(docs, least):
+@pytest.mark.parametrize("words", [1, 4, 50])
+def test_lines(docs, words):
     data = sorted({(key(d), xxhash.xxh64_intdigest((t or "").encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest((t or "").encode(), 42) >> 63), d, t) for d, t in rows(docs)}, key=lambda x: x[:2])
     seen, gone = set(), defaultdict(set)
-    for _, _, d, t in data:
+    for _, _, d, t in data:  # every run of lines with enough words that starts earlier too
         lines = (t or "").split("\n")
-        for i in range(len(lines) - least + 1):
-            run = tuple(lines[i : i + least])
-            if run in seen:
-                gone[d, t].update(range(i, i + least))
-            seen.add(run)
-    want = {(d, t): (len((t or "").split("\n")), len(gone[d, t]), "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone[d, t])) for _, _, d, t in data}
-    out = line_dedup(docs.withColumn("was", docs["text"]), least).collect()
+        for a in range(len(lines)):
+            n, fresh = 0, 0
+            for b in range(a, len(lines)):
+                n += len(lines[b].split())
+                run = tuple(lines[a : b + 1])
+                if n >= words:
+                    if run in seen:
+                        gone[d, t].update(range(a, b + 1))
+                    seen.add(run)
+                    fresh += 1
+                    if fresh > 12:  # longer runs are covered by runs that begin and end between
+                        break
+    want = {}
+    for _, _, d, t in data:
+        lines, out = (t or "").split("\n"), gone[d, t]
+        runs = [len(list(g)) for k, g in itertools.groupby(range(len(lines)), lambda i: i in out) if k]
+        want[d, t] = (len(lines), len(out), max(runs, default=0), "\n".join(x for i, x in enumerate(lines) if i not in out))
+    out = line_dedup(docs.withColumn("was", docs["text"]), words).collect()
     assert len(out) == docs.count()
     for r in out:
-        assert (r.n_lines, r.n_removed, r.text or "") == want[r.doc_id, r.was]
+        assert (r.n_lines, r.n_removed, r.longest_run, r.text or "") == want[r.doc_id, r.was]
 
 
 def test_no_pandas_in_line_dedup(spark):

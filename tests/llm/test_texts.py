@@ -1,16 +1,22 @@
 """Quality rules, secrets, language identification."""
 
 import base64
+import bz2
 import gzip
+import lzma
+import random
 import re
 import urllib.parse
+import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from letterbox.llm import secrets
-from letterbox.llm.langid import fit, identify
+from letterbox.llm.langid import Votes, features, fit, identify
 from letterbox.llm.quality import quality, quality_filter
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -40,14 +46,26 @@ def test_counts(spark):
 
 
 def test_line_rules(spark):
-    good = "\n".join(f"This is sentence number {i} of a clean text." for i in range(9))
+    good = "\n".join(f"{a} {b} walked along the {c} before it rained." for a, b, c in zip("Our My Your Their His Her Its No Some".split(), "aunt uncle dog cat niece friend baker child guest".split(), "river road fence wall beach canal hedge pier lane".split()))
     menu, license_, junk, loose = "home | news | about |", "All rights reserved by us.", "so### much$$$ of&&& this***", "no end of a sentence here"
-    docs = spark.createDataFrame([(1, "\n".join([good, menu, license_, junk, loose]), 5), (2, "\n".join([junk] * 9 + ["One more."]), 5), (3, good, 5)], "doc_id long, text string, n_chars long")
+    other = "\n".join(["(Tous droits réservés.)", "Alle Rechte vorbehalten!", "Hier Weiterlesen.", "Aviso legal: todos los derechos reservados."])
+    docs = spark.createDataFrame([(1, "\n".join([good, menu, license_, junk, loose, other]), 5), (2, "\n".join([junk] * 9 + ["One more."]), 5), (3, good, 5)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in quality_filter(docs).collect()}
     assert set(got) == {1, 3}
     assert got[1].text == got[3].text == good and got[1].n_chars == len(good)
 
 
+def test_long_and_odd_texts(spark):
+    long = "\n".join(f"Line {i} speaks of a thing that number {i * 7919 % 10007} did." for i in range(20000))
+    paragraph = ("We read the privacy policy of the firm and found it wanting in more ways than one could list here. " * 4).strip() + " Done at last."
+    assert len(paragraph) > 300
+    docs = spark.createDataFrame([(1, long), (1, long), (None, long), (2, "w" * 100000), (3, paragraph)], "doc_id long, text string")
+    got = quality(docs).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got if r.n_words > 1000) == [(200000, 0)] * 3
+    assert [r.n_removed for r in got if r.doc_id == 3] == [0]
+    assert quality(docs.limit(0)).count() == 0 and quality_filter(docs.limit(0)).columns == docs.columns
+
+
 SECRET = 'password = "hunter2hunter2"'
 PACKED = base64.b64encode(gzip.compress(SECRET.encode())).decode()
 
@@ -100,6 +118,70 @@ def test_base64_after_a_prefix_and_odd_contents():
     assert len(secrets.find(base64.b64encode(members).decode())[1]) == 1
 
 
+def url(x):
+    return "".join(f"%{b:02X}" for b in x.encode())
+
+
+ENCODERS = {
+    "url": url,
+    "unicode": lambda x: "".join(f"\\u{ord(c):04x}" for c in x),
+    "hex escape": lambda x: "".join(f"\\x{ord(c):02x}" for c in x),
+    "decimal": lambda x: "".join(f"&#{ord(c)};" for c in x),
+    "hexadecimal": lambda x: "".join(f"&#x{ord(c):X};" for c in x),
+    "base64": lambda x: base64.b64encode(x.encode()).decode(),
+    "url base64": lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("="),
+    "utf-16": lambda x: base64.b64encode(x.encode("utf-16-le")).decode(),
+    "gzip": lambda x: base64.b64encode(gzip.compress(x.encode())).decode(),
+    "zlib": lambda x: base64.b64encode(zlib.compress(x.encode())).decode(),
+    "deflate": lambda x: base64.b64encode(zlib.compress(x.encode(), wbits=-15)).decode(),
+    "bz2": lambda x: base64.b64encode(bz2.compress(x.encode())).decode(),
+    "xz": lambda x: base64.b64encode(lzma.compress(x.encode())).decode(),
+    "zstd": lambda x: base64.b64encode(zstandard.compress(x.encode())).decode(),
+}
+
+
+def test_secrets_in_random_nestings():
+    rng = random.Random(11)
+    for case in range(400):
+        text, want = "", []
+        for _ in range(rng.randint(1, 4)):
+            text += rng.choice([" | ", " (x), ", "\n\n* "])
+            kind = rng.randrange(3)
+            inner = [f"token={rng.choice('abc')}{rng.randrange(10**8, 10**9)}", "AKIA" + "".join(rng.choice("ABCXYZ234") for _ in range(16)), "".join(rng.choice("0123456789abcdef") for _ in range(40))][kind]
+            names = [rng.choice(list(ENCODERS)) for _ in range(rng.randint(1, 3))]
+            for name in names:
+                inner = ENCODERS[name](inner)
+            want.append((len(text), kind, len(text) + len(inner), names))
+            text += inner
+        found = secrets.find(text)[1]
+        for *span, names in want:
+            assert tuple(span) in found, (case, names, text)
+        assert secrets.find(text + "")[1] == found
+
+
+def test_escapes_in_part_and_escaped_escapes():
+    assert secrets.find("a pass%77ord%3Dabcdefgh1")[1] == [(2, 0, 24)]
+    assert secrets.find("&amp;#112;assword: abcdefgh1")[1] == [(0, 0, 28)]
+    assert secrets.find("token&equals;abcdefgh1 token&colon;abcdefgh2")[1] == [(0, 0, 22), (23, 0, 44)]
+    assert (0, 0, 40017) in secrets.find("token%" + "25" * 20000 + "3Dabcdefgh1")[1]
+    assert secrets.find("\\u{74}oken\\U0000003dabcdefgh1")[1] == [(0, 0, 29)]
+    packed = "".join(f"%{b:02x}" for b in gzip.compress(b"token=abcdefgh1"))
+    assert (4, 0, 4 + len(packed)) in secrets.find("see " + packed)[1]
+
+
+def test_large_and_circular_data(monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 1 << 12)
+    inner = "plain words, over and over\n" * 5000 + SECRET + "\n" + "more, of them\n" * 5000 + "AKIA" + "Q" * 40
+    blob = base64.b64encode(gzip.compress(inner.encode())).decode()
+    assert secrets.find(blob)[1] == [(0, 0, len(blob)), (0, 1, len(blob))]
+    bomb = base64.b64encode(gzip.compress(b"\0" * (1 << 24) + b" token=abcdefgh1")).decode()
+    assert secrets.find(bomb)[1] == [(0, 0, len(bomb))]
+    raw = base64.b64encode(zlib.compress(inner.encode(), wbits=-15)).decode()
+    assert len(secrets.find(raw)[1]) == 2
+    broken = base64.b64encode(gzip.compress(inner.encode())[:-40]).decode()
+    assert (0, 0, len(broken)) in secrets.find(broken)[1]
+
+
 def test_base_patterns_as_written():
     texts = ["API_KEY='abcdefgh' apikey:abcdefg secret==x Token = '........'", "a" * 40 + " g" + "f" * 31, "AKIA" * 9, "ſecret: abcdefghi", "token:\ttoken: abcdefgh"]
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -117,6 +199,46 @@ def test_scan_table(spark):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_votes_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 16)).astype(np.float32)
+    y = np.array([f"l{k % 4}" for k in range(60)])
+    x[np.arange(60), np.arange(60) % 4] += 3
+    votes = Votes.fit(x, y)
+    best, sure = votes.predict(x)
+    for k, v in enumerate(x):
+        won, strength = [0] * 4, [0.0] * 4
+        for (a, b), w, bias in zip(votes.pairs, votes.weights, votes.bias, strict=True):
+            p = 1 / (1 + np.exp(-4 * np.clip(v @ w + bias, -10, 10)))
+            won[a if p >= 0.5 else b] += 1
+            strength[a] += p
+            strength[b] += 1 - p
+        top = max(range(4), key=lambda c: (won[c], strength[c]))
+        assert best[k] == top and sure[k] == pytest.approx(strength[top] / 3, rel=1e-5)
+    assert (np.array(votes.labels)[best] == y).mean() > 0.9
+
+
+def test_identify_against_a_loop(spark):
+    base = {"en": "the cat sat on the mat and saw this thing", "de": "der Hund und die Katze sind nicht hier", "fr": "le chat est dans la maison avec nous", "es": "el perro está en la casa con los gatos"}
+    rows = [(k, base[lang] + f" {'xyzuvw'[k % 6] * 3}", lang, "tag") for k, lang in enumerate(list(base) * 40)] + [(900, None, "en", "t"), (901, "", "de", "t"), (902, "1234", None, "t"), (903, "the cat " * 100000, None, "t"), (None, "der Hund", None, "t"), (903, "the cat " * 100000, None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    model = fit(docs)
+    assert len(model.families.labels) == 2
+    got = sorted(((r.doc_id or -1, r.lang_pred, round(r.score, 6)) for r in identify(docs, model).collect()))
+    want = []
+    for d, text, _, _ in rows:
+        v = features(text) if text else None
+        if v is None:
+            want.append((d if d is not None else -1, "und", 0.0))
+        else:
+            lang, score = model.predict(v[None])
+            want.append((d or -1 if d is None else (d or -1), lang[0], round(float(score[0]), 6)))
+    assert got == sorted(want)
+    assert identify(docs.limit(0), model).count() == 0
+    few = fit(docs, per_language=5)
+    assert few is not None and fit(docs, per_language=5).predict(np.array([features("the cat")]))[0] == few.predict(np.array([features("the cat")]))[0]
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables here")
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
