@@ -36,17 +36,22 @@ def _identity() -> list[Column]:
     return [F.col("doc_id").isNotNull().cast("int").alias("has"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text_or_empty()).alias("copy")]
 
 
-def _lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, numbers): place, a, b, w of every line of the distinct documents; and their numbers."""
+def _repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ranks, numbers): place, rank and w (words) of every line that stands at two places or more; the documents' numbers."""
     known = docs.select(*_identity()).groupBy(*_DOC).agg(F.count("*").alias("n"))
     numbers = cut(running_sums(known.withColumn("one", F.lit(1).cast("long")), _DOC, {"num": "one"}, "order").drop("one"), "numbers")
-    line = docs.select(*_identity(), F.posexplode(F.split(text_or_empty(), "\n")).alias("line", "text"))
+    lines = docs.select(*_identity(), F.posexplode(F.split(text_or_empty(), "\n")).alias("line", "text"))
     # two hashes of 64 bits with different seeds name a line
-    line = line.select(*_DOC, "line", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("line"), "text").alias("b"), F.regexp_count("text", F.lit(WORD)).alias("w"))
+    lines = lines.select(*_DOC, "line", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("line"), "text").alias("b"), F.regexp_count("text", F.lit(WORD)).alias("w"))
     if not numbers.filter("n > 1").isEmpty():  # rows that repeat a document
-        line = line.groupBy(*_DOC, "line").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("w").alias("w"))
+        lines = lines.groupBy(*_DOC, "line").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("w").alias("w"))
+    lines = cut(lines, "lines")
+    keys = running_sums(lines.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1"), ["a", "b"], {"smaller": "n"}, "keys")
+    met = lines.join(keys.select("a", "b", "smaller").hint("merge"), ["a", "b"]).select(*_DOC, "line", "w", (F.col("smaller") + 1).alias("rank"))
     place = (F.shiftleft("num", LINE_BITS) + F.col("line")).alias("place")
-    return line.join(numbers.select(*_DOC, "num"), _DOC).select(place, "a", "b", "w"), numbers
+    ranks = cut(met.join(numbers.select(*_DOC, "num").hint("merge"), _DOC).select(place, "rank", "w"), "suffixes")
+    drop_cut(lines)
+    return ranks, numbers
 
 
 def _document() -> Column:
@@ -56,19 +61,24 @@ def _document() -> Column:
 def _windows(lines: DataFrame, words: int) -> DataFrame:
     """place, len: from each line the shortest run of ``words`` words on, and the shortest that ends with each line.
 
-    Running sums of words before (x) and behind (y) each line, put in one order, show both by the places around.
+    ``lines`` (place, w) are the repeated ones: a run lies within a stretch of neighbours among them. Running sums
+    of words before (x) and behind (y) each line, put in one order, show both by the places around. A run may come
+    out twice.
     """
-    own = Window.partitionBy(_document()).orderBy("place")
-    upto = F.sum("w").over(own.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
-    events = lines.withColumn("upto", upto).select(F.explode(F.array(F.struct((F.col("upto") - F.col("w") + words).alias("v"), F.lit(1).alias("x"), "place"), F.struct(F.col("upto").alias("v"), F.lit(0).alias("x"), "place"))).alias("e")).select("e.*")
-    down = Window.partitionBy(_document()).orderBy(F.desc("v"), "x").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(_document()).orderBy("v", F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(_document()).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    stretch = F.col("place") - F.row_number().over(own)
+    upto = F.sum("w").over(own).cast("long")
+    x = F.struct((F.col("upto") - F.col("w") + words).alias("v"), F.lit(1).alias("x"), "place")
+    y = F.struct(F.col("upto").alias("v"), F.lit(0).alias("x"), "place")
+    events = lines.select("place", "w", stretch.alias("stretch"), upto.alias("upto")).select(_document().alias("num"), "stretch", F.explode(F.array(x, y)).alias("e")).select("num", "stretch", "e.*")
+    same = Window.partitionBy("num", "stretch")
+    down = same.orderBy(F.desc("v"), "x").rowsBetween(Window.unboundedPreceding, 0)
+    up = same.orderBy("v", F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
     ends = F.min(F.when(F.col("x") == 0, F.col("place"))).over(down)
     begins = F.max(F.when(F.col("x") == 1, F.col("place"))).over(up)
     found = events.withColumns({"end": ends, "begin": begins})
     first, last = F.when(F.col("x") == 1, F.col("place")).otherwise(F.col("begin")), F.when(F.col("x") == 1, F.col("end")).otherwise(F.col("place"))
-    runs = found.select(first.alias("place"), (last - first + 1).cast("int").alias("len")).filter("place IS NOT NULL AND len IS NOT NULL")
-    return runs.distinct()
+    return found.select(first.alias("place"), (last - first + 1).cast("int").alias("len")).filter("place IS NOT NULL AND len IS NOT NULL")
 
 
 def _repeated(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -98,14 +108,9 @@ def later_runs(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFram
 
     ``numbers``: has, doc, copy, num of the documents; a place is num * 2**LINE_BITS + line.
     """
-    lines, numbers = _lines(docs)
-    lines = cut(lines, "lines")
-    ranks = _ranked(lines.select("place", "a", "b"), ["a", "b"])
-    # a run can only repeat where its first and its last line do
-    runs = _windows(lines, words).join(ranks.select("place"), "place", "left_semi")
-    last = ranks.select((F.col("place")).alias("last"))
-    runs = cut(runs.withColumn("last", F.col("place") + F.col("len") - 1).join(last, "last", "left_semi").select("place", "len"), "runs")
-    drop_cut(lines)
+    ranks, numbers = _repeated_lines(docs)
+    # a run can only repeat where all of its lines do
+    runs = cut(_windows(ranks.select("place", "w"), words), "runs")
     deepest, depth, found = runs.agg(F.max("len")).first()[0] or 0, 1, []
     while depth <= deepest:
         found.append(cut(_later(runs.filter(F.col("len").between(depth, 2 * depth - 1)), ranks, depth), "later"))
@@ -136,7 +141,8 @@ def line_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     gone = runs.select(_document().alias("num"), F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("k"), F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("line"))
     gone = gone.groupBy("num").agg(F.sort_array(F.collect_set(F.col("line") + F.col("k"))).alias("gone"))
     marks = cut(numbers.join(gone, "num").select(*_DOC, "gone"), "marks")
-    out = docs.select(boxed(docs), text_or_empty().alias("body"), *_identity()).join(marks, _DOC, "left")
+    # marks grow with the input: the plan is the same at every size
+    out = docs.select(boxed(docs), text_or_empty().alias("body"), *_identity()).join(marks.hint("merge"), _DOC, "left")
     lines = F.split("body", "\n")
     stay = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
     # runs of consecutive numbers: the difference to their rank is constant
