@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 from letterbox.llm import exact_dedup as X
+from letterbox.llm import shingle_dedup as S
 from letterbox.llm.components import components
 from letterbox.llm.exact_dedup import exact_dedup
 from letterbox.llm.line_dedup import line_dedup
@@ -181,6 +182,61 @@ def test_near_stage_finds_copies_at_four_fifths(spark):
     assert {(r.doc_id, r.text) for r in P.near(spark, docs, "").collect()} == first_of_components(list(enumerate(texts)))
 
 
+def family(members, most, seed):
+    """Texts of 150 words that differ from one in up to ``most`` places, where a word is left out or replaced."""
+    rng, out = random.Random(seed), []
+    for _ in range(members):
+        text = [f"w{i}" for i in range(150)]
+        for i in sorted(rng.sample(range(150), rng.randint(0, most)), reverse=True):
+            text[i : i + 1] = [] if rng.random() < 0.3 else [f"x{rng.randrange(40)}"]
+        out.append(" ".join(text))
+    return out
+
+
+def test_near_stage_checks_groups_of_fingerprints_first(spark, monkeypatch):
+    import corpus_pipeline as P
+
+    asked, tried, groups, alike = [], [], S.simhash_groups, S._alike
+    monkeypatch.setattr(S, "simhash_groups", lambda docs, words, bits: asked.append((words, bits)) or groups(docs, words, bits))
+    monkeypatch.setattr(S, "_alike", lambda pairs, *rest: tried.append(pairs.count()) or alike(pairs, *rest))
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words[:k]) for k in (2000, 1999, 1998, 1997)] + [" ".join(reversed(words))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in P.near(spark, docs, "").collect()} == {0, 4}
+    assert asked == [(5, 4)] and tried[0] == 3 and sum(tried[1:]) <= 3
+
+
+@pytest.mark.parametrize(("crowd", "turns"), [(256, 4), (3, 0)])
+def test_outliers_of_a_large_group(spark, monkeypatch, crowd, turns):
+    tried, alike = [], S._alike
+    monkeypatch.setattr(S, "_alike", lambda pairs, *rest: tried.append(pairs.count()) or alike(pairs, *rest))
+    monkeypatch.setattr(S, "CROWD", crowd, raising=False)
+    monkeypatch.setattr(S, "TURNS", turns)
+    data = list(enumerate(family(600, 10, 1) + family(20, 60, 2) + [None, "", "w0 w1"]))
+    got = {(r.doc_id, r.text) for r in shingle_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == first_of_components(data)
+    assert len(got) > 150  # many are not alike
+    assert sum(tried) < 12000  # of some 190000 pairs
+
+
+def test_differences_meet_in_their_prefixes():
+    rng = np.random.default_rng(3)
+    none = np.zeros(0, np.int64)
+    for percent in (50, 80, 95):
+        base = np.arange(1, 101)
+        sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(40, 101), replace=False), rng.integers(200, 260, rng.integers(0, 30))])) for _ in range(120)]
+        sets += [np.setdiff1d(s, rng.choice(s, 3)) for s in sets] + [none]
+        pivot = sets[0]
+        made = [S.differences(s, pivot, percent, np.array([203, 230]), np.array([5, 3])) for s in sets]
+        for (x, (u, _, far)), (y, (v, _, off)) in itertools.combinations(zip(sets, made, strict=True), 2):
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= percent * (len(x) + len(y) - both) and (far or off):
+                assert len(np.intersect1d(u, v)) or not len(x) + len(y)
+        for x, (_, a, far) in zip(sets, made, strict=True):
+            both = len(np.intersect1d(x, pivot))
+            assert a == len(x) + len(pivot) - 2 * both and far == (100 * both < percent * (len(x) + len(pivot) - both))
+
+
 @pytest.mark.parametrize("words", [1, 4, 50])
 def test_lines(docs, words):
     data = sorted({(key(d), xxhash.xxh64_intdigest((t or "").encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest((t or "").encode(), 42) >> 63), d, t) for d, t in rows(docs)}, key=lambda x: x[:2])
