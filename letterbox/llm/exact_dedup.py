@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from letterbox.llm._common import boxed, cut, partitions, text_or_empty, unboxed
+from letterbox.llm._common import boxed, cut, lean, partitions, text_or_empty, unboxed
 
 _RUN = "digest binary, size long, check long, has_id int, id long, at_id long, n long, peer int"
 _KEYS = ["digest", "size", "check"]
@@ -110,7 +110,7 @@ def _merge(keep: str):
             cols = [digest, *[pa.array(np.ascontiguousarray(block[k])) for k in _ENTRY.names[1:]], pa.array(np.full(len(block), me, np.int32))]
             yield pa.RecordBatch.from_arrays(cols, schema=_SCHEMA)
 
-    return run
+    return lean(run)
 
 
 def digest_groups(rows: DataFrame, keep: str = "max", fan_in: int = 4, width: int | None = None) -> DataFrame:

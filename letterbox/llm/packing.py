@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterbox.llm._common import cut, slices
+from letterbox.llm._common import cut, lean, slices
 from letterbox.llm._tokens import encoder
 
 
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, vocabulary: str, room: int = 4096, end_id: int = 1)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 8, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "row_id", "part", "local"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, row_id long, part long, local long")
+    return rows.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, row_id long, part long, local long")
 
 
 def best_fit_pack(docs: DataFrame, vocabulary: str, room: int = 4096, end_id: int = 1) -> DataFrame:
@@ -111,4 +111,4 @@ def best_fit_pack(docs: DataFrame, vocabulary: str, room: int = 4096, end_id: in
             seq, off = firsts[at] + idx // eachs[at], offsets[at] + idx % eachs[at] * length
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(off), batch.column("row_id")], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row_id"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "row_id").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, row_id long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "row_id").mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, row_id long")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterbox.llm._common import boxed, cut, drop_cut, slices, text_or_empty, unboxed
+from letterbox.llm._common import boxed, cut, drop_cut, lean, slices, text_or_empty, unboxed
 from letterbox.llm._fingerprint import shingle_hashes
 from letterbox.llm.components import components
 from letterbox.llm.simhash_dedup import simhash_groups
@@ -72,7 +72,7 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             for x in batch.column(1):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py(), words))], ["token"])
 
-    sample = texts.filter(F.pmod("node", F.lit(SAMPLE)) == 0).mapInArrow(run, "token long")
+    sample = texts.filter(F.pmod("node", F.lit(SAMPLE)) == 0).mapInArrow(lean(run), "token long")
     often = sorted((r.token, r.n) for r in sample.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).collect())
     return np.array([t for t, _ in often], np.int64), np.array([n for _, n in often], np.int64)
 
@@ -88,7 +88,7 @@ def _postings(texts: DataFrame, words: int, percent: int, common: np.ndarray, ra
                 cols = [first, np.full(len(first), node), np.full(len(first), len(found), np.int32), np.arange(len(first), dtype=np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "node", "n", "pos"])
 
-    return texts.mapInArrow(run, "token long, node long, n int, pos int")
+    return texts.mapInArrow(lean(run), "token long, node long, n int, pos int")
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -141,11 +141,11 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
             some = some.join(own.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in names]), end)
         return some.select("a", "b", *[f"{c}_{end}" for end in ("a", "b") for c in names])
 
-    drawn = cut(of(pairs).mapInArrow(draw, "node long, n int, sketch binary").dropDuplicates(["node"]), "sketches")
-    close = cut(beside(pairs, drawn, "n", "sketch").mapInArrow(rule_out, "a long, b long"), "close")
+    drawn = cut(of(pairs).mapInArrow(lean(draw), "node long, n int, sketch binary").dropDuplicates(["node"]), "sketches")
+    close = cut(beside(pairs, drawn, "n", "sketch").mapInArrow(lean(rule_out), "a long, b long"), "close")
     drop_cut(drawn)
     own = cut(of(close).dropDuplicates(["node"]), "pair-texts")
-    out = cut(beside(close, own, "text").mapInArrow(run, "a long, b long"), "alike")
+    out = cut(beside(close, own, "text").mapInArrow(lean(run), "a long, b long"), "alike")
     drop_cut(own)
     return out
 
@@ -283,7 +283,7 @@ def _by_differences(split: DataFrame, texts: DataFrame, words: int, percent: int
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "pivot", "node", "root", "n", "a", "pos", "far"])
 
     inputs = beside.select("pivot", "top", "node", "root", "text", "pivot_text")
-    out = cut(inputs.mapInArrow(run, "token long, pivot long, node long, root long, n int, a int, pos int, far boolean"), "differences")
+    out = cut(inputs.mapInArrow(lean(run), "token long, pivot long, node long, root long, n int, a int, pos int, far boolean"), "differences")
     drop_cut(held)
     drop_cut(own)
     filed = out.filter("pos >= 0")

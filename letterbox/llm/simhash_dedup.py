@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterbox.llm._common import boxed, cut, slices, unboxed
+from letterbox.llm._common import boxed, cut, lean, slices, unboxed
 from letterbox.llm._fingerprint import simhash
 from letterbox.llm.components import components
 
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             fps = [x - (1 << 64) if x >> 63 else x for x in fps]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def links(fps: DataFrame, bits: int = 4, entries: int | None = None, hot: int = HOT) -> DataFrame:

@@ -16,7 +16,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from letterbox.llm import _tokens, warc
+from letterbox.llm import _tokens, packing, warc
 from letterbox.llm._common import WORD, cut
 from letterbox.llm._tokens import encoder
 from letterbox.llm._wavelet import WaveletMatrix
@@ -24,7 +24,7 @@ from letterbox.llm.exact_dedup import exact_dedup
 from letterbox.llm.langid import fit, identify
 from letterbox.llm.line_dedup import line_dedup
 from letterbox.llm.mixing import apply_mix, mix
-from letterbox.llm.packing import best_fit_pack, plan
+from letterbox.llm.packing import best_fit_pack, pieces, plan
 from letterbox.llm.quality import BARS, ENDS, SHORT, SIGNS, furniture, quality, quality_filter
 from letterbox.llm.queries import vocabulary
 from letterbox.llm.secrets import scan_secrets
@@ -265,6 +265,44 @@ def test_columns_of_any_name_stay(clashing):
     assert out.count() == n
 
 
+class Caught:
+    """Stands for a table, and for a task: the function that would run over it is called here, as a worker would."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+    def partitionId(self):
+        return 0
+
+
+def own_mb() -> float:
+    return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+
+def test_packing_gives_memory_back(spark, monkeypatch):
+    """A worker that has done its task holds little more than before, whatever passed through it."""
+    monkeypatch.setattr(packing.TaskContext, "get", Caught)
+    run, rng = pieces(Caught(), vocabulary()), random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 12))) for _ in range(3000)]
+
+    def batches(n):
+        for _ in range(n):
+            texts = [" ".join(rng.choices(words, k=700)) for _ in range(2500)]
+            yield pa.record_batch([pa.array(range(2500), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+            del texts
+
+    def rows(n):
+        return sum(out.num_rows for out in run(batches(n)))
+
+    assert rows(0) == 0  # the vocabulary is loaded
+    before = own_mb()
+    assert rows(3) == 7500
+    assert own_mb() - before < 25
+
+
 def test_pipeline_stages_on_odd_rows(spark, clashing):
     import corpus_pipeline as P
 
