@@ -101,7 +101,7 @@ def document_verdicts(spark, sf_dir):
 
 @_query(FEED + O.finds(f"(SELECT cand_id, {O.normalized(feeds.FRAMES)} AS t FROM feed)", "cand_id", "t"))
 def framed_candidates(spark, sf_dir):
-    feed = feeds.candidates(spark, sf_dir).withColumn("text", F.expr(feeds.FRAMES))
+    feed = feeds.spread(feeds.candidates(spark, sf_dir)).withColumn("text", F.expr(feeds.FRAMES))
     return pipeline.text_candidates(feed, "cand_id")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from letterbox.functions import patterns as P
+from letterbox.functions.clean import let
 
 _ROT = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM")
 _STRINGS = "array<string>"
@@ -22,7 +23,7 @@ def normalize_text(text: Column) -> Column:
 
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches (or one group of them); an empty array where the text is null."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), none())
+    return F.coalesce(F.regexp_extract_all(text, F.lit(P.steady(pattern)), F.lit(group)), none())
 
 
 def _joined(text: Column, pattern: str) -> Column:
@@ -91,8 +92,8 @@ def extended(text: Column, compat: bool = False) -> Column:
     found = find_all(text, P.EXTENDED)
     if compat:
         return found
-    plain = find_all(text, P.EM)
-    return F.filter(found, lambda x: ~F.exists(plain, lambda p: F.contains(p, x)))
+    # no find has a line break, so a part of the joined matches is a part of one of them
+    return let(F.array_join(find_all(text, P.EM), "\n"), lambda plain: F.filter(found, lambda x: ~F.contains(plain, x)))
 
 
 def captures(text: Column, family: str) -> Column:

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from letterbox.functions import patterns as P
+from letterbox.functions import rows as R
 from letterbox.functions.clean import let
 from letterbox.functions.text import detector_suite, find_all, none, normalize_text, pattern_suite
 
@@ -286,3 +289,107 @@ def finds(compat: bool = False) -> Column:
 def extract(dom: DataFrame, compat: bool = False) -> DataFrame:
     """All candidates: page_id, extractor, raw; every extractor reads the same parsed page."""
     return dom.select("page_id", F.explode(finds(compat)).alias("c")).select("page_id", "c.extractor", "c.raw")
+
+
+# The same in the pass that parses: what a run asks of each of its pages, without the nodes leaving Python.
+
+_TRIM = re.compile(rf"\A{R.SPACE}+|{R.SPACE}+{R.END}")
+_OWN = ("data-email", "data-contact", "data-mail")
+_BLOCKS = frozenset(["p", "div", "span", "td", "th", "li", "section"])
+_NEAR_AT = re.compile(r"(?i)@|\bat\b")
+_UNSEEN = re.compile("display: ?none|visibility: ?hidden")
+_NAMED = ("email", "mail", "contact")
+
+
+def _any(value: str, parts: tuple[str, ...]) -> bool:
+    return any(x in value for x in parts)
+
+
+def _finds_of_node(n: dict, compat: bool, suite: Callable[[str], list[str]]) -> Iterator[tuple[str, str | None]]:
+    """``_of_node`` of one node, as pairs of extractor and find."""
+    tag, attrs, text = n["tag"], n["attrs"], n["text"] or ""
+    if attrs:
+        own = [x for k in _OWN if (x := attrs.get(k))]
+        href, style, content = attrs.get("href", ""), attrs.get("style", ""), attrs.get("content")
+        if tag == "a" and href.startswith("mailto:"):
+            yield "mailto", _TRIM.sub("", href[7:].split("?", 1)[0].split("#", 1)[0])
+        yield from (("data attribute", x) for x in own)
+        for k, v in attrs.items():
+            if "@" in v and k in _ATTRIBUTES:
+                yield from (("attribute", x) for x in R.emails(v))
+        if tag == "meta" and content is not None:
+            yield from (("meta", x) for x in R.emails(content))
+            if "email" in attrs.get("property", ""):
+                yield "meta", content
+        if style and _UNSEEN.search(style):
+            yield from (("hidden", x) for x in suite(R.normalize_text(text)))
+            yield from (("hidden", x) for x in own)
+        if _any(attrs.get("class", ""), _NAMED) or _any(attrs.get("id", ""), _NAMED):
+            yield from (("named element", x) for v in (text, attrs.get("data-email"), attrs.get("data-contact"), attrs.get("title"), attrs.get("alt")) for x in R.emails(v))
+        if tag == "iframe":
+            yield from (("iframe", x) for x in R.emails(attrs.get("src")))
+        if tag == "textarea" or (tag == "input" and (attrs.get("type") == "email" or "email" in attrs.get("name", "") or "email" in attrs.get("id", ""))):
+            yield from (("form control", x) for k in ("value", "placeholder") for x in R.emails(attrs.get(k)))
+        if tag == "link" and _any(attrs.get("rel", ""), ("contact", "email")):
+            yield from (("link rel", x) for x in R.emails(href))
+    if text:
+        if tag in _BLOCKS and _NEAR_AT.search(text):
+            yield from (("block text", x) for line in (n["lines"] if n["lines"] is not None else [text]) for x in suite(R.normalize_text(line)))
+        if text.count("@") == 1:
+            a, b = (_TRIM.sub("", x) for x in _TRIM.sub("", text).split("@"))
+            if R.whole(f"{a}@{b}"):
+                yield "split element", f"{a}@{b}"
+    if n["leaves"] is not None:
+        yield from (("json-ld", x) for x in n["leaves"] if R.whole(x))
+        yield from (("json-ld", x) for x in R.emails(text))
+    if n["kids"]:
+        yield from (("split siblings", x) for x in R.emails(n["kids"]))
+
+
+_ATTRIBUTES = frozenset(P.ATTRIBUTES)
+
+
+def page_finds(nodes: list[dict], comments: list[str], compat: bool = False) -> list[tuple[str, str]]:
+    """``finds`` of one parsed page: all (extractor, raw)."""
+    seen: dict[str, list[str]] = {}
+
+    def suite(text: str) -> list[str]:  # elements around each other often have one text
+        if text not in seen:
+            seen[text] = [x for _, x in R.pattern_suite(text, compat)]
+        return seen[text]
+
+    def shown(n: dict) -> str:
+        return (n["text"] if compat or n["lines"] is None else " ".join(n["lines"])) or ""
+
+    text = R.normalize_text(" ".join(shown(n) for n in nodes if n["parent_id"] == -1))
+    out: list[tuple[str, str | None]] = [("page text", x) for x in suite(text)] + [("detector", x) for _, x in R.detector_suite(text, compat)]
+    out += [("comment", x) for c in comments for x in R.emails(c)]
+    for n in nodes:
+        out += _finds_of_node(n, compat, suite)
+    return [x for x in out if x[1]]
+
+
+def read_pages(pages: DataFrame, columns: dict[str, str], run: Callable[[list[dict], list[str], str | None], dict], every_text: bool = False) -> DataFrame:
+    """page_id, url and ``columns`` (name -> type) of what ``run`` makes of the nodes, comments and source of a page."""
+    schema = "page_id long, url string, " + ", ".join(f"{k} {v}" for k, v in columns.items())
+    kinds = [to_arrow_type(v.dataType) for v in _parse_datatype_string(schema).fields[2:]]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made = [run(*parse(x, every_text), x) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *[pa.array([m[k] for m in made], kind) for k, kind in zip(columns, kinds, strict=True)]], ["page_id", "url", *columns])
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(each, schema)
+
+
+def extract_pages(pages: DataFrame, compat: bool = False, every_text: bool = True) -> DataFrame:
+    """``extract`` of pages that are not parsed yet."""
+
+    def run(nodes: list[dict], comments: list[str], html: str | None) -> dict:
+        return {"c": [{"extractor": k, "raw": x} for k, x in page_finds(nodes, comments, compat)]}
+
+    found = read_pages(pages, {"c": "array<struct<extractor:string,raw:string>>"}, run, every_text)
+    return found.select("page_id", F.explode("c").alias("c")).select("page_id", "c.extractor", "c.raw")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from letterbox.functions import rows as R
 from letterbox.functions.categorize import categorize
 from letterbox.functions.clean import clean, dedup_key, domain_part
 from letterbox.functions.validate import FILE_SUFFIXES, in_example_context, rejection_reason, well_formed
@@ -27,6 +28,30 @@ def first_per_key(candidates: DataFrame, by: list[str], compat: bool = False) ->
     return found.select(*by, "email", F.col("f.raw").alias("raw"), "extractors", *(["example_context"] if context else []))
 
 
+#: an address of one text as ``firsts`` gives it
+FIRST = "struct<email:string,late:boolean,extractor:string,raw:string,extractors:array<string>,example_context:boolean>"
+
+
+def firsts(found: Iterable[R.Find], text: str | None, compat: bool = False) -> list[dict]:
+    """``in_context`` and ``first_per_key`` of the candidates (extractor, raw) of one text."""
+    best: dict[str, tuple[bool, str, str]] = {}
+    extractors: dict[str, set[str]] = {}
+    for extractor, raw in dict.fromkeys(found):
+        email, rank = R.key_of(raw, compat), (extractor in LAST, extractor, raw)
+        if email not in best or rank < best[email]:
+            best[email] = rank
+        extractors.setdefault(email, set()).add(extractor)
+    near = R.Context(text).near_example if best else None
+    return [{"email": e, "late": b[0], "extractor": b[1], "raw": b[2], "extractors": sorted(extractors[e]), "example_context": near(e)} for e, b in best.items()]
+
+
+def merge_firsts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """What ``first_per_key`` gives, from ``by`` and the fields of FIRST of every text."""
+    order = F.struct("late", "extractor", "raw")
+    found = rows.groupBy(*by, "email").agg(F.min(order).alias("f"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("extractors")))).alias("extractors"), F.max("example_context").alias("example_context"))
+    return found.select(*by, "email", F.col("f.raw").alias("raw"), "extractors", "example_context")
+
+
 def in_context(rows: DataFrame, text: str, compat: bool = False) -> DataFrame:
     """``rows`` (raw beside the text it comes from) with email and example_context, and without the text."""
     keyed = rows.withColumn("email", dedup_key(clean(F.col("raw"), compat)))
@@ -84,4 +109,4 @@ def categorized(emails: DataFrame, categories: dict[str, list[str]] | None = Non
     return emails.withColumn("category", categorize(F.col("email"), categories))
 
 
-__all__ = ["FILE_SUFFIXES", "categorized", "disposable_lookup", "first_per_key", "in_context", "mx_lookup", "suffix_matches", "usable_mx", "verdicts", "with_context"]
+__all__ = ["FILE_SUFFIXES", "categorized", "disposable_lookup", "first_per_key", "firsts", "in_context", "merge_firsts", "mx_lookup", "suffix_matches", "usable_mx", "verdicts", "with_context"]

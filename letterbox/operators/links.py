@@ -8,10 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from letterbox.functions import rows as R
 from letterbox.functions.clean import let
 from letterbox.functions.text import find_all, none
 from letterbox.functions.validate import CONTACT_SUFFIXES, bad_contact_url
-from letterbox.operators.dom import Node
+from letterbox.operators.dom import Node, read_pages
 
 #: words for "contact" in a dozen languages; a longer lexicon is a parameter (see sources.lexicons)
 KEYWORDS = ("contact", "kontakt", "contacto", "contato", "contatti", "contattaci", "contactez", "kapcsolat", "iletisim", "yhteystiedot", "impressum", "about", "support", "reach us", "get in touch", "feedback", "help", "контакт", "お問い合わせ", "联系", "문의")
@@ -136,6 +137,125 @@ def found_links(keywords: Sequence[str] = KEYWORDS) -> Column:
     return let(_outer(), lambda outer: F.flatten(F.transform("nodes", lambda x: rules(Node(x), outer))))
 
 
+# The same in the pass that parses (see ``dom.read_pages``).
+
+_BLANKS = re.compile(f"{R.SPACE}+")
+_CONTACT_NAMES = frozenset(["contact", "contact-url", "contact-page", "contact-us", "contactus"])
+_ONCLICK = re.compile(r"""['"]([^'"]*contact[^'"]*)['"]""")
+_CLASSES = {k: frozenset(v[1]) for k, v in REGIONS.items()}
+
+
+def page_links(nodes: list[dict], keywords: Sequence[str] = KEYWORDS) -> list[tuple[str, int, str]]:
+    """``found_links`` of one parsed page, (rule, node_id, url), without "json contact point" (``link_columns``)."""
+    words = [w.lower() for w in keywords if w]
+
+    def about(*values: str | None) -> bool:
+        low = "\n".join(v for v in values if v is not None).lower()
+        return not words or any(w in low for w in words)
+
+    spans: dict[str, list[tuple[int, int]]] = {}
+    classes_of: list[list[str]] = []
+    for n in nodes:
+        get, span = n["attrs"].get, (n["node_id"], n["last"])
+        classes = _BLANKS.split(get("class")) if get("class") else []
+        classes_of.append(classes)
+        kinds = [k for k, (tags, _, ids) in REGIONS.items() if n["tag"] in tags or get("id", "") in ids or not _CLASSES[k].isdisjoint(classes)]
+        if kind := get("itemtype"):
+            kinds += ["organization"] * ("schema.org/Organization" in kind) + ["typed item"] * ("ContactPage" in kind or "Organization" in kind)
+        if kind := get("typeof"):
+            kinds += ["rdfa organization"] * ("Organization" in kind or "LocalBusiness" in kind) + ["typed resource"] * ("ContactPage" in kind or "Organization" in kind)
+        for k in kinds:
+            spans.setdefault(k, []).append(span)
+    out: list[tuple[str, int, str]] = []
+    for n, classes in zip(nodes, classes_of, strict=True):
+        tag, attrs, at = n["tag"], n["attrs"], n["node_id"]
+        button = tag == "button" or "btn" in classes or "button" in classes
+        if not (attrs or button):
+            continue
+        get, text = attrs.get, n["text"] or ""
+        href, content = get("href"), get("content")
+
+        def add(rule: str, *urls: str | None, at: int = at) -> None:
+            out.extend((rule, at, u) for u in urls if u)
+
+        def inside(which: str, at: int = at) -> bool:
+            return any(a < at <= b for a, b in spans.get(which, ()))
+
+        if tag == "a" and href is not None:
+            if near := about(href, text, get("title")):
+                add("anchor", href)
+            said = about(href, text)
+            for k in REGIONS:
+                if (said if k == "breadcrumb" else near) and inside(k):
+                    add(k, href)
+            if about(href):
+                for k in ("typed item", "typed resource"):
+                    if inside(k):
+                        add(k, href)
+        elif tag == "meta":
+            name, prop = get("name", ""), get("property", "")
+            if content is not None:
+                if "contact" in name:
+                    add("meta name", content)
+                if (name in _CONTACT_NAMES or prop in _CONTACT_NAMES) and content.startswith("http"):
+                    add("meta url", content)
+                if prop == "og:url" and about(content):
+                    add("og url", content)
+                if name == "twitter:url" and about(content):
+                    add("card url", content)
+        elif tag == "link" and href is not None:
+            rel = get("rel", "")
+            if "contact" in rel:
+                add("link relation", href)
+            if rel in ("contact", "contact-page"):
+                add("link contact", href)
+            if rel in ("canonical", "alternate") and about(href):
+                add(rel, href)
+        elif tag == "script" and get("type") == "application/ld+json":
+            add("json url", *[x for p in JSON_URLS for x in R.find_all(text, p)])
+        elif tag == "form" and get("action") is not None and about(get("action")):
+            add("form action", get("action"))
+        if item := get("itemprop"):
+            if item in ("contactPoint", "contactPage") and inside("organization"):
+                add("organization", href, content)
+            if item in ("url", "contactPoint") and href is not None and about(href):
+                add("item property", href)
+        if get("property") == "contactPoint" and inside("rdfa organization"):
+            add("rdfa organization", href, content)
+        if "ContactPage" in get("itemtype", ""):
+            add("contact page type", href, content)
+        if button:
+            if get("onclick") is not None and about(get("onclick")):
+                add("button onclick", *_ONCLICK.findall(get("onclick"))[:1])
+            if get("data-href") is not None and about(get("data-href")):
+                add("button link", get("data-href"))
+            if n["parent_id"] >= 0 and nodes[n["parent_id"]]["tag"] == "a" and about(text):
+                add("button parent", nodes[n["parent_id"]]["attrs"].get("href"))
+        add("data attribute", get("data-contact"), get("data-contact-url"), get("data-contact-page"))
+    return out
+
+
+#: what ``link_columns`` makes of a page: its links, and texts in which Spark's own JSON functions look
+LINK_COLUMNS = {"links": "array<struct<rule:string,node_id:int,url:string>>", "json": "array<struct<node_id:int,text:string>>"}
+
+
+def link_columns(nodes: list[dict], keywords: Sequence[str] = KEYWORDS) -> dict:
+    json = [{"node_id": n["node_id"], "text": n["text"]} for n in nodes if n["tag"] == "script" and n["text"] and n["attrs"].get("type") == "application/ld+json"]
+    return {"links": [{"rule": k, "node_id": at, "url": u} for k, at, u in page_links(nodes, keywords)], "json": json}
+
+
+def read_links() -> Column:
+    """Over ``LINK_COLUMNS``: what ``found_links`` gives."""
+    made = F.transform("json", lambda x: F.struct(F.lit("json contact point").alias("rule"), x["node_id"].alias("node_id"), F.get_json_object(x["text"], "$.contactPoint.url").alias("url")))
+    return F.when(F.size("json") == 0, F.col("links")).otherwise(F.concat("links", F.filter(made, lambda x: x["url"] != "")))
+
+
+def rules_of_pages(pages: DataFrame, keywords: Sequence[str] = KEYWORDS) -> DataFrame:
+    """``link_rules`` of pages that are not parsed yet."""
+    found = read_pages(pages, LINK_COLUMNS, lambda nodes, comments, html: link_columns(nodes, keywords))
+    return found.select("page_id", F.explode(read_links()).alias("l")).select("page_id", "l.rule", "l.node_id", "l.url")
+
+
 def link_rules(dom: DataFrame, keywords: Sequence[str] = KEYWORDS) -> DataFrame:
     """page_id, rule, node_id, url (as written) of every rule but the guesses; the page is parsed once."""
     return dom.select("page_id", F.explode(found_links(keywords)).alias("l")).select("page_id", "l.rule", "l.node_id", "l.url")

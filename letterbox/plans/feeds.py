@@ -31,6 +31,13 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumn("dom", F.expr("seg || '.' || tld")).withColumn("raw", F.explode(F.array(F.expr(RAW))))  # the explode keeps the CASE from being copied into filters
 
 
+def spread(feed: DataFrame) -> DataFrame:
+    """The feed dealt out by its key: a small file is one task, however much is made of each of its rows."""
+    spark = feed.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return feed.repartition(parts, "cand_id")
+
+
 #: a third of the domains each accept mail, refuse it, or are unknown
 MX_SQL = "SELECT dom AS domain, length(dom) % 3 = 0 AS has_mx FROM (SELECT DISTINCT dom FROM feed) WHERE length(dom) % 3 < 2"
 DISPOSABLE_SQL = "SELECT DISTINCT 'mailtrash.' || tld AS domain FROM feed WHERE tld <> 'fr'"
