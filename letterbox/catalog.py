@@ -275,7 +275,7 @@ _MADE = FEED + ", made AS (SELECT cand_id AS page_id, * FROM feed) "
 
 
 def _made(spark, sf_dir, html):
-    return feeds.made_pages(feeds.candidates(spark, sf_dir), html)
+    return feeds.made_pages(feeds.spread(feeds.candidates(spark, sf_dir)), html)
 
 
 @_query(_MADE + _FOUND)
