@@ -280,7 +280,7 @@ def _made(spark, sf_dir, html):
 
 @_query(_MADE + _FOUND)
 def page_extractors(spark, sf_dir):
-    return D.extract(D.parse_dom(_made(spark, sf_dir, feeds.HTML), every_text=False))
+    return D.extract_pages(_made(spark, sf_dir, feeds.HTML), every_text=False)
 
 
 _PAGE_JUDGED = _MADE + ", " + O.judged(_FOUND, f"SELECT page_id, {feeds.HTML} AS body FROM made", "page_id")
