@@ -257,7 +257,7 @@ def dom_tag_counts(spark, sf_dir):
 
 @_query()
 def dom_candidates(spark, sf_dir):
-    return D.extract(D.parse_dom(_read(spark, sf_dir, "pages")))
+    return D.extract_pages(_read(spark, sf_dir, "pages"))
 
 
 @_query()
@@ -307,12 +307,12 @@ _RULED = " UNION ALL ".join(f"SELECT page_id, '{k}' AS rule, {v} AS url FROM mad
 
 @_query(_MADE + _RULED)
 def page_links(spark, sf_dir):
-    return L.link_rules(D.parse_dom(_made(spark, sf_dir, feeds.LINK_HTML), every_text=False)).select("page_id", "rule", "url")
+    return L.rules_of_pages(_made(spark, sf_dir, feeds.LINK_HTML)).select("page_id", "rule", "url")
 
 
 @_query()
 def dom_links(spark, sf_dir):
-    return L.link_rules(D.parse_dom(_read(spark, sf_dir, "pages")), keywords=("the", "and", "contact"))
+    return L.rules_of_pages(_read(spark, sf_dir, "pages"), keywords=("the", "and", "contact"))
 
 
 _GUESSES = "[" + ",".join(f"'/{p}{w}'" for p in L.GUESS_PREFIXES for w in L.GUESS_WORDS) + "]"
@@ -384,7 +384,7 @@ _SITES = (
 
 
 def _sites(spark, sf_dir):
-    feed = feeds.candidates(spark, sf_dir)
+    feed = feeds.spread(feeds.candidates(spark, sf_dir))
     return pipeline.run_sites(feed.select(F.concat_ws(".", "loc", "dom").alias("domain")), feeds.site_pages(feed))
 
 
