@@ -49,6 +49,9 @@ class _Tree(HTMLParser):
         self.pieces: list[str] = []
         self.comments: list[str] = []
 
+    def updatepos(self, i, j):  # lines and columns are not asked for
+        return j
+
     def _node(self, tag: str, attrs) -> int:
         known: dict[str, str] = {}
         for k, v in attrs:
@@ -369,8 +372,8 @@ def page_finds(nodes: list[dict], comments: list[str], compat: bool = False) ->
     return [x for x in out if x[1]]
 
 
-def read_pages(pages: DataFrame, columns: dict[str, str], run: Callable[[list[dict], list[str], str | None], dict], every_text: bool = False) -> DataFrame:
-    """page_id, url and ``columns`` (name -> type) of what ``run`` makes of the nodes, comments and source of a page."""
+def read_pages(pages: DataFrame, columns: dict[str, str], run: Callable[[list[dict], list[str], str | None, str | None], dict], every_text: bool = False) -> DataFrame:
+    """page_id, url and ``columns`` (name -> type) of what ``run`` makes of the nodes, comments, source and URL of a page."""
     schema = "page_id long, url string, " + ", ".join(f"{k} {v}" for k, v in columns.items())
     kinds = [to_arrow_type(v.dataType) for v in _parse_datatype_string(schema).fields[2:]]
 
@@ -378,7 +381,7 @@ def read_pages(pages: DataFrame, columns: dict[str, str], run: Callable[[list[di
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = [run(*parse(x, every_text), x) for x in part.column(2).to_pylist()]
+                made = [run(*parse(x, every_text), x, url) for url, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *[pa.array([m[k] for m in made], kind) for k, kind in zip(columns, kinds, strict=True)]], ["page_id", "url", *columns])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -388,7 +391,7 @@ def read_pages(pages: DataFrame, columns: dict[str, str], run: Callable[[list[di
 def extract_pages(pages: DataFrame, compat: bool = False, every_text: bool = True) -> DataFrame:
     """``extract`` of pages that are not parsed yet."""
 
-    def run(nodes: list[dict], comments: list[str], html: str | None) -> dict:
+    def run(nodes: list[dict], comments: list[str], html: str | None, url: str | None) -> dict:
         return {"c": [{"extractor": k, "raw": x} for k, x in page_finds(nodes, comments, compat)]}
 
     found = read_pages(pages, {"c": "array<struct<extractor:string,raw:string>>"}, run, every_text)

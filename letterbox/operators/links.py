@@ -240,8 +240,27 @@ LINK_COLUMNS = {"links": "array<struct<rule:string,node_id:int,url:string>>", "j
 
 
 def link_columns(nodes: list[dict], keywords: Sequence[str] = KEYWORDS) -> dict:
-    json = [{"node_id": n["node_id"], "text": n["text"]} for n in nodes if n["tag"] == "script" and n["text"] and n["attrs"].get("type") == "application/ld+json"]
-    return {"links": [{"rule": k, "node_id": at, "url": u} for k, at, u in page_links(nodes, keywords)], "json": json}
+    return {"links": [{"rule": k, "node_id": at, "url": u} for k, at, u in page_links(nodes, keywords)], "json": _json_texts(nodes)}
+
+
+def _json_texts(nodes: list[dict]) -> list[dict]:
+    return [{"node_id": n["node_id"], "text": n["text"]} for n in nodes if n["tag"] == "script" and n["text"] and n["attrs"].get("type") == "application/ld+json"]
+
+
+_BASE, _LAST_BREAK = re.compile("https?://[^/?#]+"), re.compile(r"(?:\r\n|[\n\r\x85\u2028\u2029])\Z")
+
+
+def best_link_columns(nodes: list[dict], url: str | None, keywords: Sequence[str] = KEYWORDS, suffixes: Sequence[str] = CONTACT_SUFFIXES) -> dict:
+    """``link_columns`` with the one link that ``best_url`` puts before the page's other ones; the rest cannot win."""
+    base, best, bad = (m[0] if (m := _BASE.match(url or "")) else ""), None, tuple(s for s in suffixes)
+    for rule, at, u in page_links(nodes, keywords) if base else ():
+        full = u if u.startswith("http") else f"{base}{u}" if u.startswith("/") or base.endswith("/") else f"{base}/{u}"
+        if _LAST_BREAK.sub("", full).endswith(bad) or full.endswith(bad):
+            continue
+        rank = ("contact" not in full.lower(), len(full.encode()), at, full)
+        if best is None or rank < best[0]:
+            best = rank, {"rule": rule, "node_id": at, "url": u}
+    return {"links": [best[1]] if best else [], "json": _json_texts(nodes)}
 
 
 def read_links() -> Column:
@@ -252,7 +271,7 @@ def read_links() -> Column:
 
 def rules_of_pages(pages: DataFrame, keywords: Sequence[str] = KEYWORDS) -> DataFrame:
     """``link_rules`` of pages that are not parsed yet."""
-    found = read_pages(pages, LINK_COLUMNS, lambda nodes, comments, html: link_columns(nodes, keywords))
+    found = read_pages(pages, LINK_COLUMNS, lambda nodes, comments, html, url: link_columns(nodes, keywords))
     return found.select("page_id", F.explode(read_links()).alias("l")).select("page_id", "l.rule", "l.node_id", "l.url")
 
 

@@ -79,7 +79,7 @@ def judge_texts(docs: DataFrame, by: str = "doc_id", text: str = "text", dims: D
 def judge_pages(pages: DataFrame, dims: Dims = Dims(), compat: bool = False) -> DataFrame:
     """The same over HTML, through all DOM extractors; one parse of each page."""
 
-    def run(nodes: list[dict], comments: list[str], html: str | None) -> dict:
+    def run(nodes: list[dict], comments: list[str], html: str | None, url: str | None) -> dict:
         return {"c": firsts(D.page_finds(nodes, comments, compat), html, compat)}
 
     found = D.read_pages(pages, {"c": f"array<{FIRST}>"}, run, every_text=compat)
@@ -100,7 +100,7 @@ def explain_page(pages: DataFrame, page_id: int, dims: Dims = Dims(), compat: bo
 def extractor_report(pages: DataFrame, compat: bool = False) -> DataFrame:
     """page_id, extractor, n (distinct finds), and under "source" the mailto addresses only the HTML source shows."""
 
-    def run(nodes: list[dict], comments: list[str], html: str | None) -> dict:
+    def run(nodes: list[dict], comments: list[str], html: str | None, url: str | None) -> dict:
         found = set(D.page_finds(nodes, comments, compat))
         missed = {("source", x) for x in R.find_all(html, rf"(?i)mailto:({P.EM})") if ("mailto", x) not in found}
         return {"c": list(Counter(k for k, _ in found | missed).items())}
@@ -111,15 +111,15 @@ def extractor_report(pages: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def _contact_url(dims: Dims, prefer_links: bool) -> Column:
-    """Over the columns of ``links.link_columns``."""
+    """Over the columns of ``links.best_link_columns``."""
     links = F.transform(L.read_links(), lambda x: F.struct(x["node_id"].alias("node_id"), x["url"].alias("url")))
     return L.best_url(L.base_of(F.col("url")), links, prefer_links, dims.guesses, dims.page_suffixes)
 
 
 def contact_pages(pages: DataFrame, prefer_links: bool = False, dims: Dims = Dims()) -> DataFrame:
     """page_id and the URL chosen as its site's contact page; nothing is shuffled."""
-    keywords = dims.keywords
-    read = D.read_pages(pages, L.LINK_COLUMNS, lambda nodes, comments, html: L.link_columns(nodes, keywords))
+    keywords, suffixes = dims.keywords, dims.page_suffixes
+    read = D.read_pages(pages, L.LINK_COLUMNS, lambda nodes, comments, html, url: L.best_link_columns(nodes, url, keywords, suffixes))
     # a filter on the URL would be pushed below it and choose it twice; an explode is not
     return read.select("page_id", F.explode(F.array_compact(F.array(_contact_url(dims, prefer_links)))).alias("url"))
 
@@ -147,10 +147,10 @@ def run_sites(domains: DataFrame, pages: DataFrame, dims: Dims = Dims(), compat:
     """
     sites = _once(pages_of_domains(domains, pages.select("page_id", "url"), compat).select("domain", "reached", "page_id"))
     home = sites.filter("reached").select(F.col("page_id").alias("_home"), "domain").join(pages.select("page_id", "url", "html"), F.col("_home") == F.col("page_id"))
-    keywords = dims.keywords
+    keywords, suffixes = dims.keywords, dims.page_suffixes
 
-    def both_of(nodes: list[dict], comments: list[str], html: str | None) -> dict:
-        return {"c": _in_context(nodes, comments, html, compat)} | L.link_columns(nodes, keywords)
+    def both_of(nodes: list[dict], comments: list[str], html: str | None, url: str | None) -> dict:
+        return {"c": _in_context(nodes, comments, html, compat)} | L.best_link_columns(nodes, url, keywords, suffixes)
 
     read = D.read_pages(home.select("page_id", "url", "html").dropDuplicates(["page_id"]), {"c": _JUDGED} | L.LINK_COLUMNS, both_of, every_text=compat)
     first = read.select("page_id", "c", _contact_url(dims, prefer_links=not compat).alias("contact_url"))
@@ -158,7 +158,7 @@ def run_sites(domains: DataFrame, pages: DataFrame, dims: Dims = Dims(), compat:
     chosen = first.select("page_id", "contact_url").distinct().filter(F.col("contact_url").isNotNull())
     second = pages.select(F.col("page_id").alias("contact_id"), F.col("url").alias("_url"), "html").join(chosen.select("contact_url").distinct(), F.col("_url") == F.col("contact_url"), "left_semi")
     second = second.select(F.col("contact_id").alias("page_id"), F.col("_url").alias("url"), "html")
-    found = D.read_pages(second, {"c": _JUDGED}, lambda nodes, comments, html: {"c": _in_context(nodes, comments, html, compat)}, every_text=compat)
+    found = D.read_pages(second, {"c": _JUDGED}, lambda nodes, comments, html, url: {"c": _in_context(nodes, comments, html, compat)}, every_text=compat)
     found = found.select("page_id", "url", F.explode("c").alias("c")).select("page_id", "url", "c.*")
     found = found.join(chosen.select(F.col("page_id").alias("_home"), "contact_url"), F.col("url") == F.col("contact_url"))
     columns = [F.col("extractor"), F.col("raw"), F.col("email"), F.col("example_context")]
