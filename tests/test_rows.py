@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from letterbox.functions import clean as C
+from letterbox.functions import patterns as P
 from letterbox.functions import rows as R
 from letterbox.functions import text as T
 from letterbox.functions import validate as V
 from letterbox.operators import dom as D
 from letterbox.operators import links as L
+from letterbox.plans import pipeline
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [
@@ -60,6 +62,24 @@ def test_pages(pages, compat):
     assert rows(L.link_rules(D.parse_dom(pages))) == rows(L.rules_of_pages(pages))
 
 
+@pytest.mark.parametrize("prefer", [False, True])
+def test_contact_pages(pages, prefer):
+    """The pass hands one link of a page to the choice among all; the choice stays what the whole list gives."""
+    dom = D.parse_dom(pages)
+    bases = pages.select("page_id", L.base_of(F.col("url")).alias("base")).filter("base <> ''")
+    every = L.best_contact(L.contact_candidates(bases, L.link_rules(dom)), prefer).select("page_id", "url")
+    assert {r.page_id: r.url for r in pipeline.contact_pages(pages, prefer).collect()} == {r.page_id: r.url for r in every.collect()}
+    read = D.read_pages(pages, L.LINK_COLUMNS, lambda nodes, comments, html, url: L.best_link_columns(nodes, url))
+    assert max(r.n for r in read.select(F.size("links").alias("n")).collect()) == 1
+
+
+def test_words_in_addresses(spark):
+    emails = ["ROOT@x.de", "a@b.de", "no-reply@x.de", "x@y.root", "ann.spam@x.de", ""]
+    df = spark.createDataFrame([(x,) for x in emails], "e string")
+    found = [r.f for r in df.select(V.security_pattern(F.col("e")).alias("f")).collect()]
+    assert found == [any(w in x.lower() for w in P.SECURITY_WORDS) for x in emails]
+
+
 @pytest.mark.parametrize("name", ["framed_candidates", "page_extractors", "page_links"])
 def test_a_small_file_is_more_than_one_task(spark, name):
     assert spark.read.parquet(f"{SF}/customer.parquet").rdd.getNumPartitions() == 1
