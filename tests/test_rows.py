@@ -98,3 +98,11 @@ def test_large_texts_cost_in_proportion(spark):
 
     seconds(10)
     assert seconds(4000) < 12 * seconds(1000)
+
+
+def test_report(spark, pages):
+    """Finds are counted where they are made: one row an extractor and page leaves the pass, not one a find."""
+    report = pipeline.extractor_report(pages)
+    found = D.extract(D.parse_dom(pages, every_text=False)).distinct().groupBy("page_id", "extractor").count().collect()
+    assert {(r.page_id, r.extractor): r.n for r in report.collect() if r.extractor != "source"} == {tuple(r[:2]): r[2] for r in found}
+    assert "transform(" not in report._jdf.queryExecution().optimizedPlan().toString()
